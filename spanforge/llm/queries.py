@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import packing
+from spanforge.llm import packing, ransfile
 from spanforge.llm.common import table
 
 
@@ -12,9 +12,14 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
 
 
+def op2_token_ids(spark, sf_dir):
+    return ransfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op2_token_ids": op2_token_ids,
     }
 
 

@@ -47,6 +47,8 @@ class TextEncoder:
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.chunks = _Chunks(self.whole, " " if spaced else "")
+        self.symbols = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.narrow = self.symbols <= 1 << 16
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
