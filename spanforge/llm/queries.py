@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import packing, ransfile
+from spanforge.llm import chat, classifier, packing, ransfile
 from spanforge.llm.common import table
 
 
@@ -16,12 +16,55 @@ def op2_token_ids(spark, sf_dir):
     return ransfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+PLANTED_TURNS = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
+
+
+def op9_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(spark.sql(PLANTED_TURNS)))
+
+
+OP9_SQL = """
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m as (
+  select *, row_number() over w as k,
+         lag(role) over w as before,
+         length(replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2'))
+           + length(replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2')) + 23 as chars
+  from t window w as (partition by conv_id order by turn nulls first, role, text)
+), g as (
+  select conv_id, count(*) as n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+         coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+         sha256(coalesce(string_agg(text, '' order by k) filter (where role = 'assistant'), '')) as loss_sha256,
+         sum(chars)::bigint as formatted_chars,
+         coalesce(min(k) filter (where not coalesce(
+           (role = 'system' and before is null)
+           or (role = 'user' and (before is null or before in ('system', 'assistant')))
+           or (role = 'assistant' and before = 'user'), false)), 0) as broken
+  from m group by conv_id
+)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+       broken = 0 as valid, (broken - 1)::bigint as first_broken_turn
+from g
+"""
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
         "op2_token_ids": op2_token_ids,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op9_chat_formatting": op9_chat_formatting,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_chat_formatting": OP9_SQL}
