@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import chat, classifier, packing, ransfile
+from spanforge.llm import chat, classifier, packing, quality, ransfile
 from spanforge.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_token_ids(spark, sf_dir):
     return ransfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,10 +65,11 @@ def queries():
     return {
         "op1_packing": op1_packing,
         "op2_token_ids": op2_token_ids,
+        "op4_quality_rules": op4_quality_rules,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
     }
 
 
 def oracle_sql():
-    return {"op9_chat_formatting": OP9_SQL}
+    return {"op4_quality_rules": quality.oracle(), "op9_chat_formatting": OP9_SQL}
