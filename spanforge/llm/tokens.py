@@ -16,16 +16,42 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks a worker remembers before it starts anew; bounds its memory.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
+
+
+LETTERS = _byte_letters()
+#: A word with punctuation behind it: two pieces for either vocabulary.
+TAIL = re.compile(r"([^\W\d_]+)([.,!?;:]+)")
 
 
 class _Chunks(dict):
-    def __init__(self, encode, prefix):
+    """Ids of chunks. A plain Latin word is one piece and goes straight to the BPE model."""
+
+    def __init__(self, owner, prefix):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.owner, self.prefix, self.marks = owner, prefix, {}
 
     def __missing__(self, chunk):
-        ids = self.encode(self.prefix + chunk)
+        if m := TAIL.fullmatch(chunk):
+            word, mark = m.groups()
+            if mark not in self.marks:
+                self.marks[mark] = self.owner.whole(mark)
+            ids = self[word] + self.marks[mark]
+        elif chunk.isalpha() and max(chunk) < "\u0250":
+            if self.prefix or chunk.islower():
+                ids = self.owner.piece(self.prefix + chunk)
+            else:
+                low = chunk.lower()
+                ids = self[low] if low != chunk and len(low) == len(chunk) else self.owner.whole(chunk)
+        else:
+            ids = self.owner.whole(self.prefix + chunk)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -46,20 +72,28 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.chunks = _Chunks(self.whole, " " if spaced else "")
+        self.chunks = _Chunks(self, " " if spaced else "")
         self.symbols = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.narrow = self.symbols <= 1 << 16
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, word: str) -> bytes:
+        """Ids of one word that neither normalising nor pre-splitting would change."""
+        found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))
+        return np.asarray([t.id for t in found], dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
+            self.chunks.marks.clear()
         get = self.chunks.__getitem__
         if not self.spaced:
+            if "\u0130" in text:  # the one letter that grows in lower case
+                return self.whole(text)
             return b"".join(map(get, text.replace("\n", " ").split(" ")))
         if self.UNSAFE.search(text):
             return self.whole(text)
