@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import chat, classifier, packing, quality, ransfile
+from spanforge.llm import chat, classifier, licenses, packing, pii, quality, ransfile
 from spanforge.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,10 @@ def op9_chat_formatting(spark, sf_dir):
     return chat.digests(turns.unionByName(spark.sql(PLANTED_TURNS)))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -66,8 +74,10 @@ def queries():
         "op1_packing": op1_packing,
         "op2_token_ids": op2_token_ids,
         "op4_quality_rules": op4_quality_rules,
+        "op5_license_scan": op5_license_scan,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_pii": op10_pii,
     }
 
 
