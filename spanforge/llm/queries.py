@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import chat, classifier, licenses, packing, pii, quality, ransfile
+from spanforge.llm import chat, classifier, decontaminate, licenses, packing, pii, quality, ransfile
 from spanforge.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_license_scan(spark, sf_dir):
     return licenses.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +79,7 @@ def queries():
         "op2_token_ids": op2_token_ids,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scan": op5_license_scan,
+        "op6_decontamination": op6_decontamination,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_pii": op10_pii,
