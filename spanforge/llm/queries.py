@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import chat, classifier, decontaminate, licenses, packing, pii, quality, ransfile
+from spanforge.llm import chat, classifier, decontaminate, licenses, neardup, packing, pii, quality, ransfile
 from spanforge.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_token_ids(spark, sf_dir):
     return ransfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ def queries():
     return {
         "op1_packing": op1_packing,
         "op2_token_ids": op2_token_ids,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scan": op5_license_scan,
         "op6_decontamination": op6_decontamination,
