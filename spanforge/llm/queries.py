@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from spanforge.llm import chat, classifier, decontaminate, licenses, neardup, packing, pii, quality, ransfile
+from spanforge.llm import chat, classifier, decontaminate, licenses, neardup, packing, pii, quality, ransfile, substrings
 from spanforge.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeated_substrings(spark, sf_dir):
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 PLANTED_TURNS = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
 
 
@@ -86,6 +90,7 @@ def queries():
         "op5_license_scan": op5_license_scan,
         "op6_decontamination": op6_decontamination,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_repeated_substrings": op8_repeated_substrings,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_pii": op10_pii,
     }
