@@ -170,24 +170,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ke
 SCORED = "score double, expected_grade double, p_poor_or_better double, p_good double, kept boolean"
 
 
-def scored(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scored(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_id",), text_column: bool = False) -> DataFrame:
     """``carry`` columns and the model's verdict for every document; null text counts as empty."""
     spark = docs.sparkSession
     workers(spark)
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.dense, model.thresholds, model.cutoff))  # 2**BITS weights
-    keep = [f for f in docs.schema if f.name in carry]
+    keep = [docs.schema[c] for c in carry]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), SCORED])
+    at = carry.index("text") if text_column else len(keep)
 
     def run(batches):
         w, dense, theta, cutoff = shared.value
         m = OrdinalModel(w, dense, theta, cutoff)
         for batch in batches:
-            s = np.array([m.score(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], dtype=np.float64)
+            s = np.array([m.score(t.as_py() or "") for t in batch.column(at)], dtype=np.float64)
             p = m.probabilities(s)
             cols = [s, p.sum(axis=1), p[:, 0], p[:, -1], p[:, -1] >= cutoff]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, cols)], [*(f.name for f in keep), "score", "expected_grade", "p_poor_or_better", "p_good", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, cols)], [*(f.name for f in keep), "score", "expected_grade", "p_poor_or_better", "p_good", "kept"])
 
-    return docs.select(*(F.col(f.name) for f in keep), text_or_empty().alias("_text")).mapInArrow(run, schema)
+    columns = [F.col(f.name) for f in keep] + ([] if text_column else [text_or_empty().alias("_text")])
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

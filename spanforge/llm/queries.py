@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from spanforge.llm import chat, classifier, decontaminate, licenses, neardup, packing, pii, quality, ransfile, substrings
 from spanforge.llm.common import table
 
@@ -93,6 +94,7 @@ def queries():
         "op8_repeated_substrings": op8_repeated_substrings,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
