@@ -1,15 +1,232 @@
-"""Registered interval queries and their SQL counterparts."""
+"""Registered interval queries and their SQL counterparts.
+
+Values are rounded to six digits in both engines; identifiers are kept.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanforge.functions import metrics
+from spanforge.operators import clean, evaluate, fcm, kmeans, normalize, pairs, plotdata, select_k
+from spanforge.operators.agglomerative import IntervalAgglomerative
+from spanforge.operators.frame import IntervalFrame, quoted
+from spanforge.plans import oracle
+from spanforge.plans.fixtures import K_SERIES, dirty, part, quartiles
+from spanforge.sources import readers
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounds doubles; -0.0 becomes 0.0."""
+    return df.select(*((F.round(quoted(c), digits) + F.lit(0.0)).alias(c) if t == "double" else quoted(c) for c, t in df.dtypes))
+
+
+def supplier(spark, sf):
+    return quartiles(spark, sf, "iv_supplier")
+
+
+def nation(spark, sf):
+    return quartiles(spark, sf, "iv_nation")
+
+
+def user(spark, sf):
+    return quartiles(spark, sf, "iv_user")
+
+
+def scaled(frame: IntervalFrame) -> IntervalFrame:
+    return normalize.MinMax().fit_transform(frame)
+
+
+def first_rows(frame: IntervalFrame, k: int) -> kmeans.Centroids:
+    rows = frame.df.orderBy("row_id").limit(k).collect()
+    return [[(float(r[lo]), float(r[up])) for _, lo, up in frame.pairs] for r in rows]
+
+
+def labelled(spark, sf, k: int = 3) -> tuple[IntervalFrame, DataFrame]:
+    """Supplier intervals, scaled, with the label row_id % k, and the clusters' means."""
+    frame = scaled(supplier(spark, sf))
+    df = frame.df.withColumn("cluster", (F.col("row_id") % k).cast("int"))
+    centres = df.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in frame.bound_columns))
+    return IntervalFrame(df, "row_id"), centres
+
+
+def lloyd(spark, sf, steps: int, k: int = 3):
+    """Assignment after ``steps`` updates from the k first rows."""
+    frame = scaled(supplier(spark, sf))
+    model = kmeans.IntervalKMeans(k, max_iter=steps + 1, tol=0.0)
+    centroids = first_rows(frame, k)
+    for _ in range(steps):
+        label = kmeans.nearest(frame.bounds(), centroids, model.metric, model.similar)
+        got = {r.cluster: r for r in frame.df.withColumn("cluster", label).groupBy("cluster").agg(*(F.avg(c).alias(c) for c in frame.bound_columns)).collect()}
+        centroids = [[(float(got[i][lo]), float(got[i][up])) for _, lo, up in frame.pairs] if i in got else c for i, c in enumerate(centroids)]
+    return frame, model, centroids
+
+
+def assigned(spark, sf, steps):
+    frame, model, c = lloyd(spark, sf, steps)
+    return frame.df.select("row_id", kmeans.nearest(frame.bounds(), c, model.metric, model.similar).cast("long").alias("cluster"))
+
+
+def fuzzy(spark, sf, k: int = 2, m: float = 2.0):
+    frame = scaled(user(spark, sf))
+    centres = first_rows(frame, k)
+    d = fcm.feature_distances(frame.bounds(), centres, metrics.euclidean, False)
+    return frame, d, fcm.memberships(d, None, m)
+
+
+def k_points(spark) -> DataFrame:
+    return spark.createDataFrame(list(K_SERIES), "k int, value double")
+
+
+def _points(spark, row):
+    return spark.createDataFrame([row], "k int")
+
+
+def normalised(make, fixture, undo: bool = False):
+    def query(spark, sf):
+        frame = fixture(spark, sf)
+        n = make().fit(frame)
+        out = n.transform(frame)
+        if undo:
+            out = n.inverse_transform(out)
+        return rounded(out.df)
+
+    return query
+
+
+def partition(frame: IntervalFrame, linkage: str, k: int = 3) -> DataFrame:
+    """Row and the smallest row of its cluster: free of cluster numbers."""
+    rows = IntervalAgglomerative(k, linkage).fit_predict(frame).select("row_id", "cluster")
+    first = rows.groupBy("cluster").agg(F.min("row_id").alias("first_row"))
+    return rows.join(first, "cluster").select("row_id", "first_row")
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    frame = scaled(supplier(spark, sf_dir))
+    model = kmeans.IntervalKMeans(3, random_state=7, n_init=2).fit(frame)
+    return rounded(kmeans.means(model.labels(), frame, "cluster"))
 
 
 def queries():
-    return {}
+    q = {}
+    for name in metrics.DISTANCES:
+        q[f"pair_{name}"] = lambda spark, sf, name=name: rounded(pairs.upper(supplier(spark, sf), name))
+    q["pair_euclidean_optimized"] = lambda spark, sf: rounded(pairs.upper(scaled(supplier(spark, sf)), "euclidean_optimized"))
+    for name in metrics.SIMILARITIES:
+        q[f"pair_{name}"] = lambda spark, sf, name=name: rounded(pairs.upper(supplier(spark, sf), name))
+    two = lambda frame: IntervalFrame(frame.df.select("row_id", *(c.alias(f"f{i}_{s}") for i, p in enumerate(frame.bounds()[:2]) for s, c in zip(("lower", "upper"), p))), "row_id")
+    q["matrix_distance"] = lambda spark, sf: rounded(pairs.pairwise_distance(nation(spark, sf), "hausdorff"))
+    q["matrix_similarity"] = lambda spark, sf: rounded(pairs.pairwise_similarity(nation(spark, sf), "jaccard"))
+    q["condensed_euclidean"] = lambda spark, sf: rounded(pairs.condensed(nation(spark, sf), "euclidean"))
+    q["cross_distance"] = lambda spark, sf: rounded(pairs.cross_distance(two(nation(spark, sf)), two(supplier(spark, sf)), "manhattan"))
+    q["cross_similarity"] = lambda spark, sf: rounded(pairs.cross_similarity(two(nation(spark, sf)), two(supplier(spark, sf)), "hedjazi"))
+    q["sim_to_dist"] = lambda spark, sf: rounded(pairs.upper(nation(spark, sf), "dice").select("i", "j", metrics.sim_to_dist(F.col("value")).alias("value")))
+    q["dist_to_sim"] = lambda spark, sf: rounded(pairs.upper(nation(spark, sf), "manhattan").select("i", "j", metrics.dist_to_sim(F.col("value")).alias("value")))
+
+    q["norm_minmax"] = normalised(normalize.MinMax, dirty)
+    q["norm_minmax_range"] = normalised(lambda: normalize.MinMax((-1.0, 1.0)), user)
+    q["norm_zscore"] = normalised(normalize.ZScore, dirty)
+    q["norm_midwidth"] = normalised(normalize.MidpointWidth, user)
+    q["norm_robust"] = normalised(normalize.RobustQuantile, dirty)
+    q["inv_minmax"] = normalised(normalize.MinMax, user, True)
+    q["inv_zscore"] = normalised(normalize.ZScore, user, True)
+    q["inv_midwidth"] = normalised(normalize.MidpointWidth, user, True)
+    q["inv_robust"] = normalised(normalize.RobustQuantile, user, True)
+
+    inverted, missing = clean.InvertedIntervals(), clean.MissingIntervals()
+    q["inverted_details"] = lambda spark, sf: rounded(inverted.details(dirty(spark, sf)))
+    q["inverted_by_feature"] = lambda spark, sf: inverted.by_feature(dirty(spark, sf))
+    q["inverted_rows"] = lambda spark, sf: inverted.rows(dirty(spark, sf))
+    for action in ("swap", "remove", "set_nan"):
+        q[f"fix_{action}"] = lambda spark, sf, action=action: rounded(inverted.fix(dirty(spark, sf), action).df)
+    q["missing_details"] = lambda spark, sf: missing.details(dirty(spark, sf))
+    q["missing_by_feature"] = lambda spark, sf: missing.by_feature(dirty(spark, sf))
+    for action in ("drop_rows", "fill_mean", "fill_median", "fill_mode", "fill_forward", "fill_backward", "fill_custom"):
+        q[action] = lambda spark, sf, action=action: rounded(missing.fix(dirty(spark, sf), action, 1.5 if action == "fill_custom" else None).df)
+    q["impute_joint_mean"] = lambda spark, sf: rounded(clean.impute_jointly(dirty(spark, sf), "mean").df)
+    q["impute_joint_median"] = lambda spark, sf: rounded(clean.impute_jointly(dirty(spark, sf), "median").df)
+
+    q["to_long"] = lambda spark, sf: rounded(part(spark, sf).long())
+    q["nested"] = lambda spark, sf: rounded(supplier(spark, sf).nested().select("row_id", F.size("intervals").cast("long").alias("n"), F.col("intervals")[1]["upper"].alias("second_upper")))
+    q["midpoints"] = lambda spark, sf: rounded(part(spark, sf).midpoints())
+    q["describe"] = lambda spark, sf: rounded(user(spark, sf).describe(), 4)
+
+    for steps in (0, 1, 3):
+        q[{0: "assign_nearest"}.get(steps, f"lloyd_{steps}")] = lambda spark, sf, steps=steps: assigned(spark, sf, steps)
+
+    def inertia(spark, sf):
+        frame, model, c = lloyd(spark, sf, 1)
+        label = kmeans.nearest(frame.bounds(), c, model.metric, model.similar)
+        return rounded(frame.df.agg(F.sum(F.pow(kmeans.own_distance(frame.bounds(), c, label, model.metric, model.similar), 2)).alias("inertia")))
+
+    def kmeans_summary(spark, sf):
+        frame = scaled(supplier(spark, sf))
+        model = kmeans.IntervalKMeans(3, max_iter=3, tol=0.0).fit(frame, [first_rows(frame, 3)])
+        return rounded(kmeans.means(model.predict(frame), frame, "cluster").withColumn("cluster", F.col("cluster").cast("long")))
+
+    q["inertia"], q["kmeans_summary"] = inertia, kmeans_summary
+    q["kmeans_pp"] = lambda spark, sf: kmeans.IntervalKMeans(3, n_init=2).fit(scaled(supplier(spark, sf))).centroids()
+    q["kmeans_hedjazi"] = lambda spark, sf: kmeans.IntervalKMeans(3, n_init=2, distance_func="hedjazi", init="random").fit(scaled(nation(spark, sf))).centroids()
+    q["kmeans_sweep"] = lambda spark, sf: kmeans.IntervalKMeans(n_init=1, max_iter=5).compute_metrics_for_k_range(scaled(nation(spark, sf)), 2, 4, ("distortion", "silhouette"))
+
+    def fcm_membership(spark, sf):
+        frame, _, u = fuzzy(spark, sf)
+        return rounded(frame.df.select("row_id", *(x.alias(f"u{i}") for i, x in enumerate(u))))
+
+    def fcm_centres(spark, sf):
+        frame, _, u = fuzzy(spark, sf)
+        row = frame.df.agg(*fcm.centre_sums(frame.bounds(), u, 2.0))
+        cols = [(F.col(f"s{c}_{j}") / (F.col(f"w{c}") + fcm.TINY)).alias(f"c{c}_{j}") for c in range(2) for j in range(2 * frame.n_features)]
+        return rounded(row.select(*cols))
+
+    def fcm_weights(spark, sf):
+        frame, d, u = fuzzy(spark, sf)
+        w = fcm.weights_from(frame.df.agg(*fcm.weight_sums(d, u, 2.0)).first(), 2, frame.n_features)
+        return rounded(spark.createDataFrame([(c, j, float(x)) for c, row in enumerate(w) for j, x in enumerate(row)], "cluster int, dim int, weight double"))
+
+    def fcm_objective(spark, sf):
+        frame, d, u = fuzzy(spark, sf)
+        return rounded(frame.df.agg(fcm.objective(d, u, None, 2.0).alias("objective")))
+
+    q |= {"fcm_membership": fcm_membership, "fcm_centres_1": fcm_centres, "fcm_adaptive_weights": fcm_weights, "fcm_objective": fcm_objective}
+    q["fcm_fit"] = lambda spark, sf: fcm.IntervalFuzzyCMeans(2, max_iter=10, random_state=1).fit(scaled(user(spark, sf))).get_membership()
+    q["fcm_fit_adaptive"] = lambda spark, sf: fcm.IntervalFuzzyCMeans(2, max_iter=10, adaptive_weights=True, random_state=1).fit(scaled(user(spark, sf))).get_crisp_assignments()
+
+    q["distortion"] = lambda spark, sf: rounded(evaluate.distortion_frame((x := labelled(spark, sf))[0], "cluster", x[1]))
+    q["silhouette"] = lambda spark, sf: rounded(evaluate.silhouette_frame(labelled(spark, sf)[0], "cluster"))
+    q["calinski"] = lambda spark, sf: rounded(evaluate.calinski_harabasz_frame((x := labelled(spark, sf))[0], "cluster", x[1]))
+    q["davies_bouldin"] = lambda spark, sf: rounded(evaluate.davies_bouldin_frame((x := labelled(spark, sf))[0], "cluster", x[1]))
+    q["dunn"] = lambda spark, sf: rounded(evaluate.dunn_frame(labelled(spark, sf)[0], "cluster"))
+
+    for linkage in ("single", "complete", "average", "ward"):
+        q[f"agglo_{linkage}"] = lambda spark, sf, linkage=linkage: partition(scaled(nation(spark, sf)), linkage)
+    q["agglo_tree"] = lambda spark, sf: IntervalAgglomerative(2, "average").fit(scaled(nation(spark, sf))).linkage_frame()
+    q["agglo_cuts"] = lambda spark, sf: IntervalAgglomerative(2, "average").fit(scaled(nation(spark, sf))).get_cluster_tree_cuts(range(2, 5))
+
+    best = lambda df, column: df.orderBy(F.col(column).desc(), "k").limit(1).select("k")
+    q["elbow_curvature"] = lambda spark, sf: best(select_k.elbow_curvature_frame(k_points(spark)), "curvature")
+    q["elbow_second"] = lambda spark, sf: best(select_k.elbow_second_frame(k_points(spark)), "bend")
+    q["lmethod"] = lambda spark, sf: _points(spark, (select_k.LMethod(iterative=False).evaluate(dict(K_SERIES)),))
+    q["lmethod_iterative"] = lambda spark, sf: _points(spark, (select_k.LMethod().evaluate(dict(K_SERIES)),))
+    q["maxmin"] = lambda spark, sf: _points(spark, (select_k.MaxMin(metric="silhouette").evaluate(dict(K_SERIES)),))
+    q["gap_select"] = lambda spark, sf: _points(spark, (select_k.GapStatistic.select([k for k, _ in K_SERIES], [0.1, 0.2, 0.35, 0.4, 0.41, 0.43, 0.44, 0.45, 0.46], [0.02] * 9, 10),))
+    q["gap_reference"] = lambda spark, sf: select_k.GapStatistic(1, 3).references(scaled(nation(spark, sf)), 0).df
+
+    q["random_intervals"] = lambda spark, sf: readers.random_intervals(spark, 1000, 3, seed=5).df
+    q["blobs"] = lambda spark, sf: readers.interval_blobs(spark, 300, 3, 2, seed=5, with_label=True).df
+
+    q["feature_bounds"] = lambda spark, sf: rounded(plotdata.feature_bounds((x := labelled(spark, sf))[0], x[1].drop("cluster")))
+    q["unit_scale"] = lambda spark, sf: rounded(plotdata.parallel_centres(supplier(spark, sf)).withColumn("dim", F.col("dim").cast("long")))
+    q["sample_per_cluster"] = lambda spark, sf: plotdata.sample_per_cluster(labelled(spark, sf)[0], "cluster", 5).select("row_id", "cluster")
+    q["rectangles"] = lambda spark, sf: rounded(plotdata.rectangles(labelled(spark, sf)[0], "cluster"))
+    q["cuboid_faces"] = lambda spark, sf: rounded(plotdata.cuboid_faces(supplier(spark, sf)))
+    q["cluster_listing"] = lambda spark, sf: rounded(plotdata.cluster_listing(labelled(spark, sf)[0], "cluster", "width"))
+    q["bundling"] = lambda spark, sf: rounded(plotdata.bundling(labelled(spark, sf)[0], "cluster"))
+    q["bezier"] = lambda spark, sf: rounded(plotdata.bezier(spark.createDataFrame([(1, 0.0, 0.5, 1.0, 0.5, 0.8), (2, 0.0, 0.1, 1.0, 0.9, 0.2)], "id int, x0 double, y0 double, x1 double, y1 double, target double")))
+    q["radar"] = lambda spark, sf: rounded(plotdata.radar(supplier(spark, sf)))
+    return q
 
 
 def oracle_sql():
-    return {}
+    return oracle.statements()
