@@ -10,8 +10,9 @@ and maximal runs of windows that share theirs make short pieces of text.
 2. Pieces with the others go to their minimiser's shard, each once per document
    bucket with the smallest id there.
 3. In a shard, pieces that stand alone under their minimiser are settled at
-   once. The others are cut into blocks; each block gets its BWT, and the BWTs
-   are merged by interleave refinement: round p turns the order by p - 1 symbols
+   once. Of the others, windows that no other piece has (by hash) are sifted
+   out and equal strings are folded. What is left is cut into blocks; each
+   block gets its BWT, and the BWTs are merged by interleave refinement: round p turns the order by p - 1 symbols
    into that by p symbols with one stable counting pass over the BWT symbols,
    carrying along where common prefixes end. After ``LENGTH`` rounds the
    intervals with a longer common prefix are the repeated strings; each takes
@@ -39,7 +40,7 @@ LENGTH, GRAM = 50, 16
 PIECE_WINDOWS = 48
 BUCKET_BYTES = 16 << 20
 #: Text that is hashed at once; longer documents are cut, with LENGTH - 1 bytes of overlap.
-CHUNK = 2 << 20
+CHUNK = 1 << 16
 #: Symbols of one shard BWT, and of the shards that are merged together.
 SHARD, MERGED = 1 << 18, 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,21 +54,37 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def _letters() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+
+
+_LETTER = _letters()
+
+
 def gram_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size, the hash of that many bytes from every position, by doubling."""
+    """For each size, a polynomial in random letters over that many bytes from every position, by doubling."""
     out: list = [None] * len(sizes)
     done = [0] * len(sizes)
-    cur, size = b.astype(np.uint64) + _GOLD, 1
+    cur, size, power = _LETTER[b], 1, _M1
     while True:
         for i, k in enumerate(sizes):
             if k & size:
                 seg = cur[done[i] :]
-                out[i] = seg.copy() if out[i] is None else mix(out[i][: len(seg)] * _M2 + seg)
+                if out[i] is None:
+                    out[i] = seg
+                else:
+                    out[i] = out[i][: len(seg)] * power
+                    out[i] += seg
                 done[i] += size
         size *= 2
         if size > max(sizes):
             return [o[: max(0, len(b) - k + 1)] for o, k in zip(out, sizes)]
-        cur = mix(cur[: max(0, len(cur) - size // 2)] * _M1 + cur[size // 2 :])
+        nxt = cur[: max(0, len(cur) - size // 2)] * power
+        nxt += cur[size // 2 :]
+        cur = nxt
+        with np.errstate(over="ignore"):
+            power = power * power
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +123,7 @@ def _pieces(held):
     sizes = np.array([len(p) for _, _, p in held])
     firsts = np.cumsum(sizes) - sizes
     grams, whole = gram_hashes(buf, (GRAM, LENGTH))
-    low = least_of(grams, LENGTH - GRAM + 1)
+    low = least_of(mix(grams), LENGTH - GRAM + 1)
     n = len(low)
     part = np.repeat(np.arange(len(held)), sizes)[:n]
     ok = np.arange(n) + LENGTH <= (firsts + sizes)[part]
@@ -202,16 +219,16 @@ def sifted(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             ids, texts = _ids(batch.column(0)), _texts(batch.column(1))
             for _, owner, _, _, _, low, _ in pieces(texts):
-                pair = np.unique(np.rec.fromarrays([low, ids[owner]], names="h,d"))
-                parts.append((pair["h"].copy(), pair["d"].copy()))
+                parts.append((low, ids[owner]))
         if not parts:
             return
         h, d = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        order = np.lexsort((d, h))
+        order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+        h, d = h[fresh], d[fresh]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        most = np.maximum.reduceat(d, first)
-        several = most != d[first]
+        several = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first)
         shard, sub = sift_key(h[first], n)
         keys, data, kinds = [], [], []
         one = ~several
@@ -417,6 +434,73 @@ def least_ids(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.
     return low[of]
 
 
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of ``counts``."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _mixed(body: np.ndarray, begins: np.ndarray, wins: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """The smallest id of every window of pieces whose minimisers have several pieces.
+
+    Windows that no other piece has (by hash) keep their piece's id. The others
+    are cut into strings where the number of pieces that have them changes;
+    equal strings are folded, strings that then stand alone under their
+    minimiser are settled, and merged transforms decide the rest.
+    """
+    owner = np.repeat(np.arange(len(wins)), wins)
+    source = np.repeat(begins, wins) + _steps(wins)
+    answer = ids[owner]
+    hashes = np.empty(len(source), np.uint64)
+    for lo in range(0, len(wins), 4096):
+        hi = min(lo + 4096, len(wins))
+        a, b = int(begins[lo:hi].min()), int((begins[lo:hi] + wins[lo:hi]).max()) + LENGTH - 1
+        if b - a > 8 * int(wins[lo:hi].sum() + LENGTH * (hi - lo)):
+            size = wins[lo:hi] + LENGTH - 1
+            own = body[np.repeat(begins[lo:hi], size) + _steps(size)]
+            first = np.cumsum(size) - size
+            at = np.repeat(first, wins[lo:hi]) + _steps(wins[lo:hi])
+        else:
+            own, at = body[a:b], (np.repeat(begins[lo:hi], wins[lo:hi]) + _steps(wins[lo:hi])) - a
+        (h,) = gram_hashes(own, (LENGTH,))
+        c = int(wins[:lo].sum())
+        hashes[c : c + len(at)] = h[at]
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    n = counts[inverse]
+    shared = n > 1
+    if not shared.any():
+        return answer
+    turn = np.append(True, (owner[1:] != owner[:-1]) | (n[1:] != n[:-1]))
+    b = np.flatnonzero(turn & shared)
+    e = np.flatnonzero(np.append(turn[1:], True) & shared)
+    key = mix(hashes[b] + (e - b).astype(np.uint64) * _GOLD) ^ (mix(hashes[e]) * _M2)
+    low, least = lows[owner[b]], ids[owner[b]]
+    order = np.lexsort((least, key, low))
+    fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (low[order][1:] != low[order][:-1]))
+    string = np.empty(len(b), np.int64)
+    string[order] = np.cumsum(fresh) - 1
+    head = order[fresh]
+    w, string_ids, string_low = (e - b + 1)[head], least[head], low[head]
+    lead = np.append(True, string_low[1:] != string_low[:-1])
+    group = np.cumsum(lead) - 1
+    rest = np.flatnonzero(np.bincount(group)[group] > 1)
+    ends = np.cumsum(w)
+    settled = np.repeat(string_ids, w)
+    if len(rest):
+        # Whole minimisers at a time, so that equal windows meet.
+        turn = np.maximum.accumulate((np.cumsum(w[rest] + LENGTH) - 1) // MERGED)
+        g = np.append(True, group[rest][1:] != group[rest][:-1])
+        turn = turn[np.flatnonzero(g)][np.cumsum(g) - 1]
+        edges = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(rest)]):
+            own = rest[lo:hi]
+            size = w[own] + LENGTH - 1
+            text = body[np.repeat(source[b[head[own]]], size) + _steps(size)]
+            settled[np.repeat(ends[own] - w[own], w[own]) + _steps(w[own])] = least_ids(text, size, w[own], string_ids[own])
+    width = e - b + 1
+    answer[np.repeat(b, width) + _steps(width)] = settled[np.repeat((ends - w)[string], width) + _steps(width)]
+    return answer
+
+
 def answered(shared: DataFrame) -> DataFrame:
     """(bucket, data): for pieces of a bucket, the smallest id of each of their windows, as runs."""
 
@@ -442,24 +526,10 @@ def answered(shared: DataFrame) -> DataFrame:
         alone = np.diff(np.append(first, len(lows)))[group] == 1
         ends = np.cumsum(wins)
         answer = np.repeat(ids, wins)
-        # Minimisers with several pieces: merged transforms, whole groups at a time.
         mixed = np.flatnonzero(~alone)
         if len(mixed):
-            weight = np.cumsum(wins[mixed] + LENGTH)
-            turn = (weight - 1) // MERGED
-            turn = np.maximum.accumulate(turn)
-            g = group[mixed]
-            lead = np.append(True, g[1:] != g[:-1])
-            turn = turn[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            edges = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
-            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(mixed)]):
-                own = mixed[lo:hi]
-                src, s = head[own], sizes[head[own]]
-                spread = np.repeat(begins[src], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-                got = least_ids(body[spread], s, wins[own], ids[own])
-                w = wins[own]
-                at = np.repeat(ends[own] - w, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                answer[at] = got
+            at = np.repeat(ends[mixed] - wins[mixed], wins[mixed]) + _steps(wins[mixed])
+            answer[at] = _mixed(body, begins[head[mixed]], wins[mixed], ids[mixed], lows[mixed])
         # Runs of equal answers within a piece.
         owner = np.repeat(np.arange(len(head)), wins)
         turn = np.append(True, (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1]))
@@ -489,7 +559,8 @@ def marked(texts: DataFrame, answers: DataFrame, kept_text: bool) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, docs = _unpacked(left)
         rows = [unblob(b.as_py()) for b in right.column("data")]
-        gone = [np.zeros(len(d) + 1, np.int32) for d in docs] if rows else None
+        base = np.cumsum([0, *(len(d) + 1 for d in docs)])
+        gone = np.zeros(int(base[-1]), np.int32)
         if rows:
             key, n_runs, off, least = (np.concatenate([r[k] for r in rows]) for k in range(4))
             n_runs = n_runs.astype(np.int64)
@@ -508,14 +579,15 @@ def marked(texts: DataFrame, answers: DataFrame, kept_text: bool) -> DataFrame:
                 lo = off[spread].astype(np.int64)
                 hi = np.where(last, windows[piece], np.append(lo[1:], 0))
                 cut = np.flatnonzero(least[spread] < ids[owner[piece]])
-                for o, a, b in zip(owner[piece[cut]].tolist(), (start[piece] + lo)[cut].tolist(), (start[piece] + hi)[cut].tolist()):
-                    gone[o][a] += 1
-                    gone[o][b + LENGTH - 1] -= 1
+                at = base[owner[piece[cut]]] + start[piece[cut]]
+                np.add.at(gone, at + lo[cut], 1)
+                np.add.at(gone, at + hi[cut] + LENGTH - 1, -1)
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for i, d in enumerate(docs):
             kept, removed, spans = d, 0, 0
-            if gone is not None and gone[i].any():
-                m = np.cumsum(gone[i])[:-1] > 0
+            own = gone[base[i] : base[i + 1]]
+            if own.any():
+                m = np.cumsum(own)[:-1] > 0
                 removed = int(m.sum())
                 spans = int((m & ~np.append(False, m[:-1])).sum())
                 kept = np.frombuffer(d, np.uint8)[~m].tobytes()

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks a worker remembers before it starts anew; bounds its memory.
-CACHE_CHUNKS = 700_000
+#: Chunks in a generation of a worker's cache; bounds its memory.
+CACHE_CHUNKS = 600_000
 
 
 def _byte_letters() -> str:
@@ -27,31 +28,43 @@ def _byte_letters() -> str:
 
 
 LETTERS = _byte_letters()
-#: A word with punctuation behind it: two pieces for either vocabulary.
-TAIL = re.compile(r"([^\W\d_]+)([.,!?;:]+)")
+#: A plain Latin word, perhaps with punctuation behind it: one or two pieces for either vocabulary.
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Chunks(dict):
-    """Ids of chunks. A plain Latin word is one piece and goes straight to the BPE model."""
+    """Ids of chunks. Plain words go straight to the BPE model.
+
+    Two generations: when the young one is full it becomes the old one, from
+    which chunks that still occur move back, so frequent ones are never lost.
+    """
 
     def __init__(self, owner, prefix):
         super().__init__()
-        self.owner, self.prefix, self.marks = owner, prefix, {}
+        self.owner, self.prefix, self.marks, self.old = owner, prefix, {"": b""}, {}
+
+    def aged(self) -> None:
+        if len(self) > CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+            self.marks = {"": b""}
 
     def __missing__(self, chunk):
-        if m := TAIL.fullmatch(chunk):
-            word, mark = m.groups()
-            if mark not in self.marks:
-                self.marks[mark] = self.owner.whole(mark)
-            ids = self[word] + self.marks[mark]
-        elif chunk.isalpha() and max(chunk) < "\u0250":
-            if self.prefix or chunk.islower():
-                ids = self.owner.piece(self.prefix + chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            if m := WORD.fullmatch(chunk):
+                word, mark = m.groups()
+                if mark:
+                    if mark not in self.marks:
+                        self.marks[mark] = self.owner.whole(mark)
+                    ids = self[word] + self.marks[mark]
+                elif self.owner.spaced or word.islower():
+                    ids = self.owner.piece(self.prefix + word)
+                else:
+                    low = word.lower()
+                    ids = self[low] if low != word and len(low) == len(word) else self.owner.whole(word)
             else:
-                low = chunk.lower()
-                ids = self[low] if low != chunk and len(low) == len(chunk) else self.owner.whole(chunk)
-        else:
-            ids = self.owner.whole(self.prefix + chunk)
+                ids = self.owner.whole(self.prefix + chunk)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -66,13 +79,15 @@ class TextEncoder:
     """
 
     #: A space between white space, or after it at the end: not a safe cut.
-    UNSAFE = re.compile(r"\s (?:\s|\Z)|<\|")
+    UNSAFE = re.compile(r"\s (?:\s|\Z)|<\||\n\s|\s\n|\A\n|\n\Z")
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.chunks = _Chunks(self, " " if spaced else "")
+        self.bare = _Chunks(self, "") if spaced else None
+        self.line_break = self.whole("\n")
         self.symbols = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.narrow = self.symbols <= 1 << 16
 
@@ -82,14 +97,14 @@ class TextEncoder:
     def piece(self, word: str) -> bytes:
         """Ids of one word that neither normalising nor pre-splitting would change."""
         found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))
-        return np.asarray([t.id for t in found], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-            self.chunks.marks.clear()
+        self.chunks.aged()
+        if self.bare is not None:
+            self.bare.aged()
         get = self.chunks.__getitem__
         if not self.spaced:
             if "\u0130" in text:  # the one letter that grows in lower case
@@ -97,8 +112,11 @@ class TextEncoder:
             return b"".join(map(get, text.replace("\n", " ").split(" ")))
         if self.UNSAFE.search(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(get, rest))
+        out = []
+        for line in text.split("\n"):  # a lone line break is a piece of its own
+            first, *rest = line.split(" ")
+            out.append((self.bare[first] if first else b"") + b"".join(map(get, rest)))
+        return self.line_break.join(out)
 
 
 _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
