@@ -156,5 +156,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; those without an id go if any of them is hit."""
-    bad = hits(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = hits(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -208,10 +208,11 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one, under the first one's kind.
     """
-    found = detected(docs, tuple(docs.columns))
+    # The row travels as one column, so that its names clash with none in here.
+    found = detected(docs.select(F.struct(*docs.columns).alias("row"), "text"), ("row",))
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["stop"], s["kind"])))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
+    text = F.col("row.text")
 
     def step(a: Column, s: Column) -> Column:
         piece = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
@@ -220,4 +221,5 @@ def masked(docs: DataFrame) -> DataFrame:
         )
 
     whole = let(F.aggregate(spans, start, step), lambda r: F.concat(r["out"], F.substr(text, (r["at"] + 1).cast("int"))))
-    return found.withColumn("text", F.when(F.size("base") + F.size("added") == 0, text).otherwise(whole)).select(*docs.columns)
+    out = F.when(F.size("base") + F.size("added") == 0, text).otherwise(whole).alias("text")
+    return found.select(*(out if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
