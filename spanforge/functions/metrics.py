@@ -11,6 +11,7 @@ import inspect
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,8 +170,6 @@ def as_distance(metric: str | Callable, is_similarity: bool = False) -> Callable
 
 def pandas_metric(f: Callable[..., float]) -> Callable:
     """A plain Python metric on two lists of [lower, upper] pairs, run in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         side = lambda v: [[p["lower"], p["upper"]] for p in v]
