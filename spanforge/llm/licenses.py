@@ -22,50 +22,62 @@ BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("gener
 
 _V = r"(?: version| v)?"
 #: label -> (priority, patterns over canonical text). Priority: 1 whole notices, 2 references
-#: with a version, 3 names, 4 hints. Hand-written; alternatives are separate rules.
+#: with a version, 3 names, 4 hints. Hand-written; alternatives are separate rules. Every match
+#: of a pattern holds its keyword as a word.
 RULES: dict[str, list[tuple[int, str, list[str]]]] = {
     "mit": [
         (1, "permission", ["permission is hereby granted free of charge to any person obtaining a copy of this software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"]),
         (2, "mit", ["(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?mit license", "(?:is|are) (?:licensed|released) under (?:the )?mit", "subject to the (?:terms of the )?mit license"]),
-        (3, "mit", ["the mit license", "mit licen[cs]e", "mit licensed", "licen[cs]e mit", "mit x11 license", "expat license", "mit expat", "mit no attribution", "spdx license identifier mit"]),
+        (3, "mit", ["the mit license", "mit licen[cs]e", "mit licensed", "licen[cs]e mit", "mit x11 license", "mit expat", "mit no attribution", "spdx license identifier mit"]),
+        (3, "expat", ["expat license"]),
     ],
-    "x11": [(3, "x11", ["x11 license", "x consortium license", "x11 mit license", "licen[cs]e x11"])],
+    "x11": [(3, "x11", ["x11 license", "x11 mit license", "licen[cs]e x11"]), (3, "consortium", ["x consortium license"])],
     "apache": [
         (1, "apache", ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "licensed to the apache software foundation asf under one or more contributor license agreements"]),
         (2, "apache", [rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?apache (?:software )?license{_V}(?: [12] [01])?", rf"apache (?:software )?license{_V} [12](?: [01])?", "apache software foundation license"]),
-        (3, "apache", ["apache licen[cs]e", "apache software license", "licen[cs]e apache", "apache 2 0", "apache2 license", "asl 2 0", "spdx license identifier apache 2 0", "www apache org licenses"]),
+        (3, "apache", ["apache licen[cs]e", "apache software license", "licen[cs]e apache", "apache 2 0", "spdx license identifier apache 2 0", "www apache org licenses"]),
+        (3, "apache2", ["apache2 license"]),
+        (3, "asl", ["asl 2 0"]),
     ],
     "bsd": [
-        (1, "redistribution", ["redistribution and use in source and binary forms with or without modification are permitted", "redistributions of source code must retain the above copyright notice this list of conditions", "redistributions in binary form must reproduce the above copyright notice"]),
+        (1, "redistribution", ["redistribution and use in source and binary forms with or without modification are permitted"]),
+        (1, "redistributions", ["redistributions of source code must retain the above copyright notice this list of conditions", "redistributions in binary form must reproduce the above copyright notice"]),
         (1, "neither", ["neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"]),
         (2, "bsd", ["bsd [0234] clause(?: license)?", "(?:two|three|four|2|3|4) clause bsd(?: license)?", "(?:new|modified|revised|simplified|original|old) bsd(?: license)?", "(?:licensed|released|distributed) under (?:the )?(?:terms of )?(?:the )?bsd"]),
-        (3, "bsd", ["bsd licen[cs]e", "bsd licensed", "bsd style license", "licen[cs]e bsd", "bsd protection license", "freebsd license", "netbsd license", "openbsd license", "spdx license identifier bsd"]),
+        (3, "bsd", ["bsd licen[cs]e", "bsd licensed", "bsd style license", "licen[cs]e bsd", "bsd protection license", "spdx license identifier bsd"]),
+        (3, "freebsd", ["freebsd license"]),
+        (3, "netbsd", ["netbsd license"]),
+        (3, "openbsd", ["openbsd license"]),
     ],
     "0bsd": [(2, "0bsd", ["0bsd(?: license)?", "spdx license identifier 0bsd"]), (2, "bsd", ["bsd zero clause(?: license)?", "zero clause bsd"])],
     "gpl": [
         (1, "gnu", ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "you should have received a copy of the gnu general public license along with"]),
         (2, "gnu", [rf"gnu general public license(?: as published by the free software foundation)?(?: either)?{_V} [123](?: 0)?(?: or (?:at your option )?any later version)?", "gnu gpl v?[123](?: 0)?", "(?:licensed|released|distributed) under (?:the )?(?:terms of )?(?:the )?gnu (?:gpl|general public)"]),
-        (2, "gpl", ["gpl v?[123](?: [01])?(?: or later| only)?", "gplv[123]", "gpl version [123]", "spdx license identifier gpl"]),
+        (2, "gpl", ["gpl v?[123](?: [01])?(?: or later| only)?", "gpl version [123]", "spdx license identifier gpl"]),
+        *((2, f"gplv{v}", [f"gplv{v}"]) for v in (1, 2, 3)),
         (3, "general", ["general public licen[cs]e"]),
         (3, "gnu", ["gnu gpl", "gnu general public"]),
         (3, "gpl", ["gpl licen[cs]e", "gpl licensed", "licen[cs]e gpl", "gpl compatible"]),
     ],
     "lgpl": [
-        (1, "lesser", ["this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"]),
+        *((1, k, [f"this library is free software you can redistribute it and or modify it under the terms of the gnu {k} general public license"]) for k in ("lesser", "library")),
         (2, "lesser", [rf"gnu lesser general public license{_V}(?: [23](?: [01])?)?", "lesser general public license"]),
         (2, "library", ["gnu library general public license", "library general public license"]),
-        (2, "lgpl", ["lgpl v?[23](?: [01])?(?: or later| only)?", "lgplv[23]", "lgpl licen[cs]e", "gnu lgpl", "spdx license identifier lgpl"]),
+        (2, "lgpl", ["lgpl v?[23](?: [01])?(?: or later| only)?", "lgpl licen[cs]e", "gnu lgpl", "spdx license identifier lgpl"]),
+        *((2, f"lgplv{v}", [f"lgplv{v}"]) for v in (2, 3)),
     ],
     "agpl": [
         (1, "affero", ["redistribute it and or modify it under the terms of the gnu affero general public license"]),
         (2, "affero", [rf"(?:gnu )?affero general public license{_V}(?: [13](?: 0)?)?", "affero gpl"]),
-        (2, "agpl", ["agpl v?[13](?: 0)?(?: or later| only)?", "agplv3", "agpl licen[cs]e", "gnu agpl", "spdx license identifier agpl"]),
+        (2, "agpl", ["agpl v?[13](?: 0)?(?: or later| only)?", "agpl licen[cs]e", "gnu agpl", "spdx license identifier agpl"]),
+        (2, "agplv3", ["agplv3"]),
     ],
     "fdl": [(2, "gnu", ["gnu free documentation license(?: version)?(?: 1 [123])?"]), (2, "gfdl", ["gfdl(?: 1 [123])?"]), (3, "free", ["free documentation license"])],
     "mpl": [
         (1, "mozilla", ["this source code form is subject to the terms of the mozilla public license v 2 0", "the contents of this file are subject to the mozilla public license"]),
         (2, "mozilla", [rf"mozilla public license{_V}(?: [12] [01])?"]),
-        (3, "mpl", ["mpl v?[12](?: [01])?", "mpl license", "mplv2", "spdx license identifier mpl"]),
+        (3, "mpl", ["mpl v?[12](?: [01])?", "mpl license", "spdx license identifier mpl"]),
+        (3, "mplv2", ["mplv2"]),
     ],
     "epl": [(2, "eclipse", [rf"eclipse public license{_V}(?: [12] 0)?", "eclipse distribution license(?: v 1 0)?"]), (3, "epl", ["epl v?[12](?: 0)?", "epl license"])],
     "cpl": [(2, "common", ["common public license(?: version)?(?: 1 0)?"]), (3, "cpl", ["cpl 1 0", "cpl license"])],
@@ -77,7 +89,7 @@ RULES: dict[str, list[tuple[int, str, list[str]]]] = {
         (3, "internet", ["internet systems consortium license", "internet software consortium license"]),
     ],
     "zlib": [(1, "software", ["this software is provided as is without any express or implied warranty in no event will the authors be held liable"]), (2, "zlib", ["zlib licen[cs]e", "zlib libpng license", "licen[cs]e zlib", "zlib acknowledgement"])],
-    "libpng": [(2, "libpng", ["libpng licen[cs]e", "png reference library license"])],
+    "libpng": [(2, "libpng", ["libpng licen[cs]e"]), (2, "png", ["png reference library license"])],
     "boost": [(1, "boost", ["distributed under the boost software license version 1 0", "boost software license version 1 0 august 17th 2003"]), (2, "boost", ["boost software license(?: version)?(?: 1 0)?", "boost license"]), (3, "bsl", ["bsl 1 0"])],
     "unlicense": [(1, "unencumbered", ["this is free and unencumbered software released into the public domain"]), (2, "unlicense", ["the unlicense", "unlicense"])],
     "cc0": [(2, "cc0", ["cc0(?: 1 0)?(?: universal)?"]), (2, "creative", ["creative commons zero(?: v1 0)?(?: universal)?", "creative commons cc0"]), (3, "public", ["public domain dedication"])],
@@ -90,12 +102,12 @@ RULES: dict[str, list[tuple[int, str, list[str]]]] = {
     "creative-commons": [(4, "creative", ["creative commons licen[cs]e", "creative commons"])],
     "wtfpl": [(2, "wtfpl", ["wtfpl(?: version)?(?: 2)?"]), (2, "fuck", ["do what the fuck you want to public license"])],
     "artistic": [(2, "artistic", ["(?:the )?(?:clarified )?artistic license(?: [12] 0)?"]), (3, "perl", ["same terms as perl itself", "perl 5 license"])],
-    "python": [(2, "python", ["python software foundation license(?: version)?(?: 2)?", "psf license agreement", "python license"]), (3, "psf", ["psf license", "psf 2 0"])],
+    "python": [(2, "python", ["python software foundation license(?: version)?(?: 2)?", "python license"]), (2, "psf", ["psf license agreement"]), (3, "psf", ["psf license", "psf 2 0"])],
     "ruby": [(3, "ruby", ["ruby license", "same terms as ruby", "licen[cs]e ruby"])],
     "php": [(2, "php", ["php license(?: version)?(?: 3 0 ?1?)?", "php software license"])],
     "openssl": [(2, "openssl", ["openssl license", "openssl and ssleay license"]), (3, "ssleay", ["original ssleay license", "ssleay license"])],
     "curl": [(3, "curl", ["curl license", "curl and libcurl license"])],
-    "eupl": [(2, "eupl", ["eupl(?: v)?(?: ?1 [012])?"]), (2, "european", ["european union public licen[cs]e(?: v)?(?: ?1 [012])?"])],
+    "eupl": [(2, "eupl", ["eupl(?: v)?(?: 1 [012])?", "eupl v1 [012]"]), (2, "eupl1", ["eupl1 [012]"]), (2, "european", ["european union public licen[cs]e(?: v)?(?: ?1 [012])?"])],
     "osl": [(2, "open", ["open software license(?: v)?(?: ?[123] 0)?"]), (3, "osl", ["osl 3 0", "osl license"])],
     "afl": [(2, "academic", ["academic free license(?: v)?(?: ?[123] [012])?"]), (3, "afl", ["afl 3 0"])],
     "ofl": [(2, "open", ["open font license(?: version)?(?: 1 [01])?"]), (2, "sil", ["sil open font license(?: version)?(?: 1 [01])?"]), (3, "ofl", ["ofl 1 [01]"])],
@@ -117,13 +129,13 @@ RULES: dict[str, list[tuple[int, str, list[str]]]] = {
     "elastic": [(2, "elastic", ["elastic license(?: 2 0)?"])],
     "commons-clause": [(2, "commons", ["commons clause license condition(?: v1 0)?", "commons clause"])],
     "polyform": [(2, "polyform", ["polyform (?:noncommercial|small business|strict|perimeter|shield|internal use) license(?: 1 0 0)?"])],
-    "openrail": [(2, "openrail", ["(?:bigscience |creativeml )?(?:open)?rail m?(?: license)?", "responsible ai license"])],
+    "openrail": [*((2, k, [f"(?:bigscience |creativeml )?{k} m?(?: license)?"]) for k in ("openrail", "rail")), (2, "responsible", ["responsible ai license"])],
     "llama": [(2, "llama", ["llama [234] community license(?: agreement)?"])],
     "upl": [(2, "universal", ["universal permissive license(?: v)?(?: ?1 0)?"])],
     "blueoak": [(2, "blue", ["blue oak model license(?: 1 0 0)?"])],
     "mulan": [(2, "mulan", ["mulan (?:psl|permissive software license)(?: v?[12])?"])],
     "cecill": [(2, "cecill", ["cecill(?: [bc])?(?: 2 [01])?(?: license)?"])],
-    "beerware": [(3, "beer", ["the beer ware license", "beer ware license", "beerware"])],
+    "beerware": [(3, "beer", ["the beer ware license", "beer ware license"]), (3, "beerware", ["beerware"])],
     "json": [(2, "json", ["json license"]), (3, "shall", ["the software shall be used for good not evil"])],
     "w3c": [(2, "w3c", ["w3c software (?:and document )?(?:notice and )?license", "w3c license"])],
     "unicode": [(2, "unicode", ["unicode license(?: agreement)?(?: v3)?", "unicode terms of use"])],
@@ -138,7 +150,7 @@ RULES: dict[str, list[tuple[int, str, list[str]]]] = {
     "ijg": [(3, "independent", ["independent jpeg group"])],
     "proprietary": [(3, "rights", ["all rights reserved"]), (3, "proprietary", ["proprietary and confidential", "proprietary license", "proprietary software"]), (3, "confidential", ["confidential and proprietary"]), (3, "unauthorized", ["unauthorized (?:copying|reproduction|distribution) of this"])],
     "copyright": [(4, "copyright", ["copyright (?:c )?[12][0-9]{3}", "copyright notice", "copyright holders?"])],
-    "warranty": [(4, "warranty", ["without warranty of any kind", "without warranties or conditions of any kind", "without any warranty without even the implied warranty"])],
+    "warranty": [(4, "warranty", ["without warranty of any kind", "without any warranty without even the implied warranty"]), (4, "warranties", ["without warranties or conditions of any kind"])],
     "license-file": [(4, "license", ["see (?:the )?license (?:file|txt|md)", "license file for (?:details|the full)", "terms of the license"]), (4, "copying", ["see (?:the )?(?:file )?copying"])],
     "spdx": [(4, "spdx", ["spdx license identifier"])],
     "eula": [(3, "end", ["end user license agreement"]), (3, "eula", ["eula"])],

@@ -75,6 +75,52 @@ def test_license_suppression(spark):
     assert [(d.start, d.stop, d.priority) for d in found] == [(0, 8, 2), (9, 12, 3)]
 
 
+def spelled(pattern):
+    """The texts a rule's pattern matches, each class and option spelled out; any run is one ``z``."""
+
+    def some(nodes):
+        out = [""]
+        for op, x in nodes:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(x)]
+            elif op == "IN":
+                more = [chr(c) for kind, y in x for c in ([y] if str(kind) == "LITERAL" else range(y[0], y[1] + 1))]
+            elif op == "SUBPATTERN":
+                more = some(x[3])
+            elif op == "BRANCH":
+                more = [t for b in x[1] for t in some(b)]
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                one = some(x[2])
+                more = [*([""] if x[0] == 0 else []), *(t * max(x[0], 1) for t in one)]
+            else:
+                assert op == "ANY", op
+                more = ["z"]
+            out = [a + b for a in out for b in more]
+        return out
+
+    # In canonical text no space follows another.
+    return [t for t in some(re._parser.parse(pattern)) if t == " ".join(t.split())]
+
+
+def test_license_keywords(spark):
+    """Every match of a rule holds its keyword, so that each rule finds texts that hold nothing else."""
+    rules = licenses.rule_rows()
+    texts_of = {i: spelled(x.removeprefix("(?<= )").removesuffix("(?= )")) for i, _, _, _, x in rules}
+    assert all(texts_of.values())
+    assert [(k, t) for i, _, _, k, _ in rules for t in texts_of[i] if k not in t.split()] == []
+    alone = [(label, t, p) for i, p, label, _, _ in rules for t in (min(texts_of[i], key=len), max(texts_of[i], key=len))]
+    got = {r.doc_id: r.detections for r in licenses.scanned(docs_of(spark, [(k, t) for k, (_, t, _) in enumerate(alone)])).collect()}
+    # A rule's own match stands, unless one that is no shorter and no less sure covers it.
+    assert [a for k, a in enumerate(alone) if not any(d.start == 0 and d.stop == len(a[1].split()) and (d.label == a[0] or d.priority <= a[2]) for d in got[k])] == []
+
+
+def test_license_rule_without_other_words(spark):
+    alone = [("released under GPLv3", "gpl"), ("FreeBSD License", "bsd"), ("LGPLv2", "lgpl"), ("AGPLv3", "agpl"), ("MPLv2", "mpl"), ("apache2 license", "apache"), ("ASL 2.0", "apache"), ("Beerware", "beerware"), ("Expat License", "mit"), ("X Consortium License", "x11"), ("PSF License Agreement", "python"), ("CreativeML RAIL-M", "openrail"), ("Responsible AI License", "openrail"), ("EUPL1.2", "eupl"), ("PNG Reference Library License", "libpng"), ("WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "warranty")]
+    got = licenses.digests(docs_of(spark, list(enumerate(t for t, _ in alone)))).collect()
+    assert [(t, r.labels) for r in got for t, label in [alone[r.doc_id]] if label not in r.labels.split(",")] == []
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
