@@ -7,7 +7,8 @@ grade and the tail probability used for selection.
 
 Training reads a bounded sample of labelled documents (``SAMPLE_ROWS``, the
 smallest hashes of doc_id, whatever the input's size); a fifth of it is held
-out and sets the cutoff. Every document is scored, over its whole text.
+out and sets the cutoff. Every document is read whole, those of the sample too:
+executors make their features, and the driver collects only these.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import text_or_empty, workers
 
-#: Labelled documents read for fitting, and characters read of each of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: Labelled documents read for fitting.
+SAMPLE_ROWS = 6000
 BITS = 18
 EXTRA = 8
 WORD = re.compile(r"[^\W\d_]+|[\d]+|[^\w\s]+")
@@ -94,7 +95,9 @@ class OrdinalModel:
         self.weights, self.dense, self.thresholds, self.cutoff = weights, dense, thresholds, cutoff
 
     def score(self, text: str) -> float:
-        at, v, d = features(text)
+        return self.score_of(*features(text))
+
+    def score_of(self, at, v, d) -> float:
         return float(self.weights[at] @ v + self.dense @ d)
 
     def probabilities(self, score):
@@ -103,6 +106,11 @@ class OrdinalModel:
 
 
 def fit(texts, grades, grade_weights=None, epochs: int = 20, rate: float = 0.1, decay: float = 2e-5, seed: int = 3, sparsity: float = 0.1) -> OrdinalModel:
+    """``fit_features`` of whole texts."""
+    return fit_features([features(t) for t in texts], grades, grade_weights, epochs, rate, decay, seed, sparsity)
+
+
+def fit_features(rows, grades, grade_weights=None, epochs: int = 20, rate: float = 0.1, decay: float = 2e-5, seed: int = 3, sparsity: float = 0.1) -> OrdinalModel:
     """AdaGrad on the cumulative-link likelihood; thresholds stay ordered through their gaps.
 
     ``sparsity``: an L1 penalty, taken off after each step, so that the many
@@ -110,7 +118,6 @@ def fit(texts, grades, grade_weights=None, epochs: int = 20, rate: float = 0.1,
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(grades, dtype=np.int64)
-    rows = [features(t) for t in texts]
     seen = np.zeros(1 << BITS, np.int64)
     for at, _, _ in rows:
         seen[np.unique(at)] += 1
@@ -153,22 +160,40 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+FEATURES = "doc_id long, grade int, buckets binary, weights binary, dense binary"
+
+
+def sampled(docs: DataFrame, few: DataFrame) -> list:
+    """(doc_id, grade, features of the whole text) of the documents in ``few``, in an order of their own."""
+    workers(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            made = [features(t.as_py()) for t in batch.column(2)]
+            cols = [pa.array([x[k].astype(kind).tobytes() for x in made], pa.binary()) for k, kind in enumerate(("<i4", "<f8", "<f8"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["doc_id", "grade", "buckets", "weights", "dense"])
+
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    rows = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, FEATURES).collect()  # bounded by sample_rows
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.buckets, r.weights, r.dense))
+    return [(r.doc_id, r.grade, tuple(np.frombuffer(x, kind) for x, kind in zip(r[2:], ("<i4", "<f8", "<f8")))) for r in rows]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_good: float = 0.985) -> OrdinalModel:
     """Fits on the sample's larger part; the cutoff on P(grade = best) keeps ``keep_good`` of the held-out good ones.
 
     Without a label of at least two grades nothing is learnt and all documents stay.
     """
     few = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.substring(text_or_empty(), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(few), "doc_id").collect()  # bounded by sample_rows
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    grades = np.array([r.grade for r in rows], dtype=np.int64)
+    rows = sampled(docs, few)
+    grades = np.array([g for _, g, _ in rows], dtype=np.int64)
     if len(set(grades.tolist())) < 2:
         return OrdinalModel(np.zeros(1 << BITS), np.zeros(EXTRA), np.linspace(-1, 1, GRADES - 1), cutoff=-1.0)
     held = np.arange(len(rows)) % 5 == 0
     n = np.bincount(grades[~held], minlength=GRADES)
     balance = np.sqrt(n.max() / np.maximum(n, 1))
-    model = fit([r.text for r, h in zip(rows, held) if not h], grades[~held], balance)
-    tail = np.array([model.probabilities(model.score(r.text))[-1] for r, h in zip(rows, held) if h and r.grade == GRADES - 1])
+    model = fit_features([x for (_, _, x), h in zip(rows, held) if not h], grades[~held], balance)
+    tail = np.array([model.probabilities(model.score_of(*x))[-1] for (_, g, x), h in zip(rows, held) if h and g == GRADES - 1])
     model.cutoff = min(0.5, float(np.quantile(tail, 1 - keep_good))) if len(tail) >= 20 else 0.5
     return model
 

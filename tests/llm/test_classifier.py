@@ -47,3 +47,14 @@ def test_every_text_counts_whole(spark):
     m.weights[at[0]] = 1.0
     a, b = classifier.scored(docs_of(spark, [(1, tail), (2, tail + "zeppelin")]), m).orderBy("doc_id").collect()
     assert b.score > a.score == 0
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the grades apart stands behind a long beginning that all share."""
+    start = "the same words again and again " * 800
+    docs = [(i, start + ("vile awful", "theory measured")[i % 2]) for i in range(200)]
+    model = classifier.train(docs_of(spark, docs, extra=False), labels_of(spark, [(i, i % 2, 1 - i % 2) for i in range(200)]))
+    good, bad = (model.probabilities(model.score(docs[i][1]))[-1] for i in (1, 0))
+    assert good > 0.8 and bad < 0.2
+    # The cutoff is that of whole texts.
+    assert bad < model.cutoff <= good
