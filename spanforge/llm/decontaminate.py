@@ -5,7 +5,8 @@ ignores the others, so a hit survives substitutions at ignored positions. The
 masks' hashes of all training windows are joined with those of the benchmark.
 Around each hit, the two token sequences are compared along the hit's diagonal:
 the best-scoring stretch (+1 a match, -``MISMATCH`` a substitution) must score
-``MIN_SCORE`` for the document to count as contaminated by the item.
+``MIN_SCORE``, or ``SHARE`` of the item's words where that is less, for the
+document to count as contaminated by the item.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from spanforge.llm.quality import let
 #: 11111111, 11011011011 and 1100110110011.
 MASKS = ((2, 4), (3, 6), (4, 7))
 MISMATCH, MIN_SCORE = 2, 12
+#: Numerator and denominator: 15 words with two substitutions apart score 9, three fifths.
+SHARE = (3, 5)
 #: Benchmark seeds that may be broadcast (some hundred bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 200_000
 BREAK = r"[^\p{L}\p{N}]+"
@@ -30,6 +33,11 @@ def span(mask: tuple[int, int]) -> int:
     return 2 + sum(mask)
 
 
+def needed(n: Column) -> Column:
+    """The score that counts for an item of ``n`` words."""
+    return F.least(F.lit(MIN_SCORE), F.ceil(n * SHARE[0] / SHARE[1]).cast("int"))
+
+
 def with_seeds(df: DataFrame, tokens: str = "_tokens") -> DataFrame:
     """Adds ``_seeds``: the hashes of all windows, mask after mask."""
 
@@ -132,8 +140,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.when(best, n).otherwise(a["matched"]).alias("matched"),
         )
 
-    scored = near.select("doc_id", "item_id", first.alias("_first"), item_first.alias("_item_first"), F.aggregate(same, zero, step).alias("_s"))
-    return scored.where(F.col("_s.score") >= MIN_SCORE).select(
+    scored = near.select("doc_id", "item_id", first.alias("_first"), item_first.alias("_item_first"), needed(F.size("item_tokens")).alias("_needed"), F.aggregate(same, zero, step).alias("_s"))
+    return scored.where(F.col("_s.score") >= F.col("_needed")).select(
         "doc_id",
         "item_id",
         F.col("_s.score").cast("long").alias("score"),

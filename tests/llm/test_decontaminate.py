@@ -58,6 +58,22 @@ def test_planted_overlaps(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in bad)
 
 
+def test_short_items(spark):
+    """Items of 8 to 18 words count verbatim, and from 15 words on with two substitutions apart; a few words of them do not."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(8, 20)}
+    around = lambda w: " ".join(["before", "it", *w, "after", "it"])
+    changed = lambda w, *at: [("other" if k in at else x) for k, x in enumerate(w)]
+    docs = [(n, around(w)) for n, w in items.items()]
+    docs += [(100 + n, around(changed(items[n], 4, 10))) for n in (15, 16, 17, 18)]
+    docs += [(200 + n, around(changed(items[n], 2))) for n in (11, 12)]
+    docs += [(300 + n, around(w[:7])) for n, w in items.items()] + [(400 + n, around(items[n][:8])) for n in (15, 17, 19)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs_of(spark, docs), bench).collect()}
+    want = {(n, n): n for n in items} | {(100 + n, n): n - 6 for n in (15, 16, 17, 18)} | {(211, 11): 8, (212, 12): 9}
+    assert got == want
+    assert sorted(r.doc_id for r in d.clean(docs_of(spark, docs), bench).collect()) == sorted(i for i, _ in docs if (i, i % 100) not in want)
+
+
 def test_shuffled_seeds_give_the_same(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(map(tuple, d.contaminated(docs, bench).collect()))
