@@ -3,8 +3,8 @@
 First-fit decreasing, run on its own in each randomised group of pieces; a
 tournament tree over the open bins' room finds the first bin that fits in
 O(log bins). A document longer than a sequence is cut into whole sequences and
-one remainder. Groups are dealt by a hash of (document, piece), so a very long
-document, source or group of copies spreads over all of them.
+one remainder. Groups are dealt by a hash of (document, piece, row), so a very
+long document, source or group of copies spreads over all of them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut, text_or_empty, workers
-from spanforge.llm.tokens import encoder
+from spanforge.llm.common import text_or_empty, workers, written
+from spanforge.llm.tokens import encoded
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces a group holds on average: enough for little padding, small for one task.
@@ -79,15 +79,13 @@ def first_fit_decreasing(lengths, capacity: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048) -> DataFrame:
     """One row per piece of at most ``capacity`` ids. Null text: empty, so only the end id."""
     workers(docs.sparkSession)
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-    step = 4 * capacity
+    end, step = np.asarray([end_id], dtype="<u4"), 4 * capacity
 
     def run(batches):
-        enc = encoder(tokenizer_path, False)
         for batch in batches:
             ids, starts, sizes, crcs, totals = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = enc.encode(text.as_py() or "") + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer_path, False)):
+                data = np.concatenate([got, end], dtype="<u4").tobytes()
                 for at in range(0, len(data), step):
                     piece = data[at : at + step]
                     ids.append(doc_id)
@@ -103,22 +101,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of (doc_id, start, length, ...).
 
-    Equal rows (a document read twice) are packed as often as they occur. An
-    empty table gives an empty result. Ids are group * 2^32 + bin.
+    Equal rows (a document read twice) are packed as often as they occur; the
+    hash that deals rows to groups takes in a number of the row's own, so that
+    repeated and null ids spread as well. An empty table gives an empty result.
+    Ids are group * 2^32 + bin.
     """
     workers(pieces.sparkSession)
-    pieces = cut(pieces)
+    # Written once, so that row numbers stay what they are when a task is run again.
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "_row", F.lit(seed)), F.lit(groups)))
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("_row", "ascending")])
         bins, offsets = first_fit_decreasing(t.column("length").to_numpy(), capacity)
         base = t.column("_group")[0].as_py() << 32
-        t = t.drop_columns(["_group"])
+        t = t.drop_columns(["_group", "_row"])
         return t.append_column("sequence_id", pa.array(bins + base, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row") + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 

@@ -4,8 +4,13 @@ Static range asymmetric numeral system: one frequency table, counted over all
 ids, codes every block. A block's ids go round robin to interleaved lanes, each
 a 64-bit state that spills 32-bit words, so that one NumPy operation codes a
 whole row of lanes. Every ``CHECKPOINT_ROWS`` rows the lane states and the
-stream position are kept, and decoding can start there; a CRC-32 guards the
-block. Blocks hold whole documents, so they decode in any order, in parallel.
+stream position are kept: decoding can start at any checkpoint, and a block is
+decoded from all of its checkpoints at once. A CRC-32 guards a block's ids,
+document ids and lengths. Blocks hold whole documents, so they decode in any
+order, in parallel.
+
+Files: ``table`` (the frequencies), ``blocks``, and ``parts`` (the first id of
+each partition of blocks; a block's place counts from there).
 """
 
 from __future__ import annotations
@@ -19,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import drop_written, new_path, parts, text_or_empty, workers
-from spanforge.llm.tokens import encoder
+from spanforge.llm.tokens import encoded, encoder
 
 MAGIC = b"SFRANS1\0"
 HEAD = struct.Struct("<8sQIIIIQ")  # magic, ids, lanes, bits, rows between checkpoints, checkpoints, words
 LOW = np.uint64(1 << 31)
-LANES, CHECKPOINT_ROWS, BLOCK_IDS = 1024, 256, 1 << 19
+LANES, CHECKPOINT_ROWS, BLOCK_IDS = 2048, 128, 1 << 19
 TABLE = "symbol int, frequency long"
-BLOCK = "part int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary, checksum long"
+BLOCK = "part int, before long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary, checksum long"
 
 
 def table_bits(symbols: int) -> int:
@@ -102,25 +107,36 @@ class Coder:
         at = np.frombuffer(data, "<u8", marks, HEAD.size)
         states = np.frombuffer(data, "<u8", marks * lanes, HEAD.size + 8 * marks)
         stream = np.frombuffer(data, "<u4", size, HEAD.size + 8 * marks * (1 + lanes))
-        mark = first // lanes // every
-        state = states[mark * lanes : (mark + 1) * lanes].copy()
-        pos, row, end = int(at[mark]), mark * every, -(-last // lanes)
-        out = np.empty((end - row) * lanes, np.uint32)
-        mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
-        base = row * lanes
-        for r in range(row, end):
-            width = min(lanes, n - r * lanes)
-            x = state[:width]
+        # Segments from checkpoint to checkpoint; only the block's last one can be cut short.
+        lo, hi = first // lanes // every, -(-last // (lanes * every))
+        whole = hi if n % (lanes * every) == 0 or hi < marks else hi - 1
+        out = np.empty((hi - lo) * every * lanes, np.uint32)
+        states, at = states.reshape(marks, lanes), at.astype(np.int64)
+        if whole > lo:
+            self._walk(states[lo:whole].copy(), at[lo:whole].copy(), stream, out[: (whole - lo) * every * lanes].reshape(whole - lo, every, lanes))
+        if whole < hi:
+            own = out[(whole - lo) * every * lanes :].reshape(1, every, lanes)
+            full = n // lanes - whole * every
+            x, pos = self._walk(states[whole:hi].copy(), at[whole:hi].copy(), stream, own[:, :full])
+            if n % lanes:
+                self._walk(x[:, : n % lanes], pos, stream, own[:, full : full + 1, : n % lanes])
+        return out[first - lo * every * lanes : last - lo * every * lanes]
+
+    def _walk(self, x: np.ndarray, pos: np.ndarray, stream: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decodes all segments side by side, a row of each in a step; returns their states and places."""
+        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(self.bits)
+        for k in range(out.shape[1]):
             slot = x & mask
             sym = self.slots[slot]
-            out[r * lanes - base : r * lanes - base + width] = sym
+            out[:, k] = sym
             x = self.freq[sym] * (x >> shift) + slot - self.cum[sym]
-            low = np.flatnonzero(x < LOW)
-            if len(low):
-                x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + len(low)]
-                pos += len(low)
-            state[:width] = x
-        return out[first - base : last - base]
+            low = x < LOW
+            if low.any():
+                n = low.sum(axis=1)
+                ends = np.cumsum(n)
+                x[low] = (x[low] << np.uint64(32)) | stream[np.repeat(pos - (ends - n), n) + np.arange(ends[-1])]
+                pos = pos + n
+        return x, pos
 
 
 _CODERS: dict[int, Coder] = {}
@@ -134,105 +150,123 @@ def coder(freq: bytes, bits: int) -> Coder:
     return _CODERS[key]
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> DataFrame:
-    """Ids of whole texts in ascending doc_id order, written once.
+STAGED = "doc_id long, crc long, turn long, n long, ids binary, counts binary"
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """Ids of every whole text, and in a last row of each task how often it saw each id (a row has ids or counts).
 
-    Range partitions keep the order; ``before`` counts the ids ahead of a
-    document in its partition. Equal doc_ids are ordered by their text's hash.
+    ``turn`` numbers the rows; with ``crc`` it orders documents of equal ids.
     """
     from pyspark import TaskContext
 
-    spark = docs.sparkSession
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches):
-        enc, part, before = encoder(tokenizer_path, True), TaskContext.get().partitionId(), 0
+        turn, kind = TaskContext.get().partitionId() << 33, encoder(tokenizer_path, True).kind
+        end, total = np.asarray([end_id], dtype=kind), np.zeros(0, np.int64)
         for batch in batches:
-            ids, sizes, at, data = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.frombuffer(enc.encode(text.as_py() or "") + end, "<u4")
-                ids.append(doc_id)
-                sizes.append(len(got))
-                at.append(before)
-                data.append(got.astype("<u2" if enc.narrow else "<u4").tobytes())
-                before += len(got)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["part", "doc_id", "before", "n", "ids"])
+            data, sizes = [], []
+            for got in encoded(batch.column(1), tokenizer_path, True):
+                data.append(np.append(got, end).tobytes())
+                sizes.append(len(got) + 1)
+            if not data:
+                continue
+            seen = np.bincount(np.frombuffer(b"".join(data), kind), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            rows = len(data)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(np.arange(turn, turn + rows)), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.nulls(rows, pa.binary())],
+                ["doc_id", "crc", "turn", "n", "ids", "counts"],
+            )
+            turn += rows
+        if len(total):
+            none = [pa.nulls(1, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "crc", "turn", "n", "ids", "counts"])
 
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, doc_id long, before long, n long, ids binary").write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, STAGED)
 
 
-def counted(ids: DataFrame, width: int) -> DataFrame:
-    """How often each id occurs; one pre-aggregated row per id and task is shuffled."""
+def counted(staged: DataFrame) -> DataFrame:
+    """(symbol, n) over all tasks' counts."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                got = np.bincount(np.frombuffer(data.as_py(), f"<u{width}"))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
-        symbols = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(total[symbols], pa.int64())], ["symbol", "n"])
+            for c in batch.column(0):
+                n = np.frombuffer(c.as_buffer(), "<i8")
+                symbols = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(n[symbols])], ["symbol", "n"])
+
+    return staged.where("counts is not null").select("counts").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+
 
-    return ids.select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+def guard(data: bytes, doc_ids, lengths, before: int) -> int:
+    """CRC-32 over a block's ids, document ids (null: the least long), lengths and place."""
+    none = -(1 << 63)
+    rest = np.array([none if x is None else x for x in doc_ids], "<i8"), np.asarray(lengths, "<i8"), np.array([before], "<i8")
+    crc = zlib.crc32(data)
+    for x in rest:
+        crc = zlib.crc32(x.tobytes(), crc)
+    return crc
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> str:
-    """Encodes every document and writes ``path``/blocks and ``path``/table.
+    """Encodes every document and writes ``path``/blocks, ``path``/parts and ``path``/table.
 
-    Null text counts as empty: such a document is its end id alone. An empty
-    table writes no blocks. Other columns of ``docs`` are ignored.
+    Blocks stand in ascending order of doc_id (nulls first); documents of equal
+    ids go by their ids' checksum, then by their place in the input. Null text
+    counts as empty: such a document is its end id alone. An empty table writes
+    no blocks. Other columns of ``docs`` are ignored.
     """
+    from pyspark import TaskContext
+
     spark = docs.sparkSession
     workers(spark)
-    staged = f"{path}/staged"
-    ids = tokenised(docs, tokenizer_path, end_id, staged)
     probe = encoder(tokenizer_path, True)
-    width, symbols = (2 if probe.narrow else 4), max(probe.symbols, end_id + 1)
+    kind, symbols = probe.kind, max(probe.symbols, end_id + 1)
+    staged_path = f"{path}/staged"
+    tokenised(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(staged_path)
+    staged = spark.read.schema(STAGED).parquet(staged_path)
     counts = np.zeros(symbols, np.int64)
-    for r in counted(ids, width).collect():  # at most one row per vocabulary entry
+    for r in counted(staged).collect():  # at most one row per vocabulary entry
         counts[r.symbol] = r.n
     bits = table_bits(symbols)
     freq = quantised(counts, bits)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], TABLE).coalesce(1).write.parquet(f"{path}/table")
-    sums = {r.part: r.n for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per partition
-    ahead, first = 0, {}
-    for part in sorted(sums):
-        first[part] = ahead
-        ahead += sums[part]
     table = freq.astype("<i8").tobytes()
 
     def run(batches):
-        code = coder(table, bits)
-        held: list[tuple[int, int, int, int, bytes]] = []
+        code, part, before = coder(table, bits), TaskContext.get().partitionId(), 0
+        held: list[tuple[int, int, bytes]] = []
         size = 0
 
         def block():
-            got = np.concatenate([np.frombuffer(h[4], f"<u{width}") for h in held])
-            data = code.encode(got)
-            part, _, before = held[0][:3]
+            data = code.encode(np.frombuffer(b"".join(h[2] for h in held), kind))
+            doc_ids, lengths = [h[0] for h in held], [h[1] for h in held]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([first[part] + before], pa.int64()), pa.array([len(got)], pa.int64()), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([[h[3] for h in held]], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([zlib.crc32(data)], pa.int64())],
-                ["part", "first_id", "n_ids", "doc_ids", "doc_lengths", "payload", "checksum"],
+                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([guard(data, doc_ids, lengths, before)], pa.int64())],
+                ["part", "before", "n_ids", "doc_ids", "doc_lengths", "payload", "checksum"],
             )
 
         for batch in batches:
-            for part, doc_id, before, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[-1][0] != part or held[-1][2] + held[-1][3] != before or size + n > BLOCK_IDS):
+            for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if held and size + n > BLOCK_IDS:
                     yield block()
-                    held, size = [], 0
-                held.append((part, doc_id, before, n, data))
+                    held, before, size = [], before + size, 0
+                held.append((doc_id, n, data.as_py()))
                 size += n
         if held:
             yield block()
 
-    ids.select("part", "doc_id", "before", "n", "ids").mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
-    drop_written(spark, staged)
+    order = ["doc_id", "crc", "turn"]
+    ordered = staged.where("ids is not null").select(*order, "n", "ids").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n", "ids").mapInArrow(run, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    sums = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row per partition
+    ahead, rows = 0, []
+    for r in sums:
+        rows.append((r.part, ahead))
+        ahead += r.n
+    spark.createDataFrame(rows, "part int, first_id long").coalesce(1).write.parquet(f"{path}/parts")
+    drop_written(spark, staged_path)
     return path
 
 
@@ -248,18 +282,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files."""
     workers(spark)
     table, bits = read_table(spark, path)
+    first = {r.part: r.first_id for r in spark.read.schema("part int, first_id long").parquet(f"{path}/parts").collect()}  # one row per partition
 
     def run(batches):
         for batch in batches:
-            for first, doc_ids, lengths, data, checksum in zip(*(c.to_pylist() for c in batch.columns)):
-                if zlib.crc32(data) != checksum:
-                    raise ValueError(f"block at {first} is damaged")
-                ids = coder(table, bits).decode(data)
+            for part, before, doc_ids, lengths, data, checksum in zip(*(c.to_pylist() for c in batch.columns)):
+                if guard(data, doc_ids, lengths, before) != checksum:
+                    raise ValueError(f"block at {before} of part {part} is damaged")
+                ids = coder(table, bits).decode(data).astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
-                cut = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends.tolist(), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - np.asarray(lengths), pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                start = first[part] + before + ends - np.asarray(lengths)
+                cut = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("first_id", "doc_ids", "doc_lengths", "payload", "checksum").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("part", "before", "doc_ids", "doc_lengths", "payload", "checksum").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

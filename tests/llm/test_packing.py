@@ -78,3 +78,13 @@ def test_groups_keep_every_piece(spark, group_pieces):
     for r in rows:
         room[r.sequence_id] += r.length
     assert max(room.values()) <= 64
+
+
+def test_repeated_and_null_ids_spread(spark):
+    """A group holds about as many pieces as it should, however the ids repeat."""
+    df = spark.createDataFrame([(None, 0, 5)] * 400 + [(7, 0, 5)] * 400, "doc_id long, start long, length long")
+    rows = packing.pack_pieces(df, 64, 50).collect()
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.sequence_id >> 32] += 1
+    assert len(rows) == 800 and len(groups) == 16 and max(groups.values()) < 100

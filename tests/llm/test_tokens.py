@@ -7,10 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from spanforge.llm import ransfile
+from spanforge.llm import ransfile, tokens
 from spanforge.llm.common import new_path
 from spanforge.llm.tokens import encoder
-from tests.llm.common import ROWS, awkward, empty, texts
+from tests.llm.common import ROWS, awkward, docs_of, empty, texts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["a", "The", "don't", "it's", " ", "  ", "\n", "\t", "\r\n", "1234", "é", "İ", "ß", "漢字", "...", "-", "'", "<|endoftext|>", "<|startoftext|>", " ", "　", "é", "😀", "_x", "Straße", "#$%", "\x00", "​", "CamelCase", "ſ", "K", "…"]
@@ -24,8 +24,8 @@ def test_encoder_agrees_with_the_library(text):
     except UnicodeEncodeError:
         return
     for path, spaced in ((BYTE, True), (WORD, False)):
-        want = np.asarray(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids if path not in _TOK else _TOK[path].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert encoder(path, spaced).encode(text) == want
+        want = np.asarray(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids if path not in _TOK else _TOK[path].encode(text, add_special_tokens=False).ids).tolist()
+        assert encoder(path, spaced).encode(text).tolist() == want
 
 
 _TOK = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
@@ -34,7 +34,20 @@ _TOK = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 def test_encoder_on_the_corpus(spark):
     for _, t in texts(spark):
         for path, spaced in ((BYTE, True), (WORD, False)):
-            assert encoder(path, spaced).encode(t) == np.asarray(_TOK[path].encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            assert encoder(path, spaced).encode(t).tolist() == _TOK[path].encode(t, add_special_tokens=False).ids
+
+
+def test_small_cache_gives_the_same(spark, monkeypatch):
+    """Chunks that move between generations, and texts encoded together, alone and in any portion."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(tokens, "PORTION", 3000)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    some = [None, "", *(t for _, t in texts(spark)[:80]), "Été, été; ÉTÉ! x" * 3]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        got = [x.tolist() for x in tokens.encoded(pa.array(some), path, spaced)]
+        assert got == [_TOK[path].encode(t or "", add_special_tokens=False).ids for t in some]
 
 
 @settings(max_examples=60, deadline=None)
@@ -44,8 +57,8 @@ def test_blocks_round_trip(ids, lanes, every):
     code = ransfile.Coder(ransfile.quantised(np.bincount(ids, minlength=41), 12), 12)
     data = code.encode(ids, lanes, every)
     assert (code.decode(data) == ids).all()
-    lo = len(ids) // 3
-    assert (code.decode(data, lo, lo + 50) == ids[lo : lo + 50]).all()  # from a checkpoint
+    for lo, hi in ((len(ids) // 3, len(ids) // 3 + 50), (0, 1), (len(ids) // 2, len(ids)), (max(0, len(ids) - 1), len(ids))):
+        assert (code.decode(data, lo, hi) == ids[lo:hi]).all()  # from checkpoints
 
 
 def test_quantised_table():
@@ -78,11 +91,27 @@ def test_awkward_documents(spark):
     assert ransfile.round_trip(empty(spark), BYTE, 2).count() == 0
 
 
-def test_damage_is_noticed(spark):
+@pytest.mark.parametrize("column", ["payload", "doc_ids", "doc_lengths", "before"])
+def test_damage_is_noticed(spark, column):
     path = ransfile.write_ids(awkward(spark), BYTE, 2, new_path(spark, "damage"))
-    rows = spark.read.parquet(f"{path}/blocks").toPandas()
-    rows["payload"] = [bytes([*p[:-1], p[-1] ^ 1]) for p in rows.payload]
-    spark.createDataFrame(rows, ransfile.BLOCK).write.mode("overwrite").parquet(f"{path}-bad/blocks")
-    spark.read.parquet(f"{path}/table").write.parquet(f"{path}-bad/table")
+    rows = [r.asDict() for r in spark.read.parquet(f"{path}/blocks").collect()]
+    for r in rows:
+        was = r[column]
+        r[column] = bytes([*was[:-1], was[-1] ^ 1]) if column == "payload" else was + 1 if column == "before" else [*was[:-1], was[-1] + 1]
+    spark.createDataFrame([tuple(r.values()) for r in rows], ransfile.BLOCK).write.parquet(f"{path}-bad/blocks")
+    for name in ("table", "parts"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}-bad/{name}")
     with pytest.raises(Exception, match="damaged"):
         ransfile.read_ids(spark, f"{path}-bad").count()
+
+
+def test_equal_ids_spread(spark):
+    """Rows of one id and of none go to all partitions, and still stand in one order."""
+    rows = [(None, f"none {i}") for i in range(300)] + [(5, f"text {i % 60}") for i in range(300)]
+    path = ransfile.write_ids(docs_of(spark, rows).repartition(3), BYTE, 2, new_path(spark, "equal"))
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 2
+    got = sorted(ransfile.read_ids(spark, path).drop("ids").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [5] * 300
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    want = sorted((str(i), zlib.crc32(np.asarray(_TOK[BYTE].encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
