@@ -35,31 +35,25 @@ STEPS = np.array([0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6])
 MIN_DOCUMENTS = 5
 
 
-class _Buckets(dict):
-    """Hash bucket of a word; bounded."""
-
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        v = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-        return v
-
+#: Words a worker keeps the buckets of.
+CACHE_WORDS = 1 << 17
 
-class _Stems(_Buckets):
-    """Hash bucket of a word's first ``size`` letters, apart from the words' buckets."""
 
-    def __init__(self, size):
-        super().__init__()
-        self.size = size
+class _Buckets(dict):
+    """Hash buckets of a word and of its first 4 and 6 letters, side by side in one number; bounded."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-        v = self[word] = zlib.crc32(f"{self.size}:{word[: self.size]}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+        parts = word, f"4:{word[:4]}", f"6:{word[:6]}"
+        v = 0
+        for k, x in enumerate(parts):
+            v |= (zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)) << (BITS * k)
+        self[word] = v
         return v
 
 
-_BUCKET, _STEMS = _Buckets(), (_Stems(4), _Stems(6))
+_BUCKETS = _Buckets()
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,8 +64,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.float64), np.array([1.0] + [0.0] * (EXTRA - 1))
     lower = text.lower()
     lower = words if lower == text else WORD.findall(lower)
-    b = np.fromiter(map(_BUCKET.__getitem__, lower), np.int64, len(lower))
-    kinds = [np.unique(x, return_counts=True) for x in (b, *(np.fromiter(map(s.__getitem__, lower), np.int64, len(lower)) for s in _STEMS))]
+    packed = np.fromiter(map(_BUCKETS.__getitem__, lower), np.int64, len(lower))
+    b = packed & ((1 << BITS) - 1)
+    kinds = [np.unique((packed >> (BITS * k)) & ((1 << BITS) - 1), return_counts=True) for k in range(3)]
     at, counts = (np.concatenate([k[j] for k in kinds]) for j in (0, 1))
     upper = sum(map(str.isupper, words)) / n
     marks = sum(not w[0].isalnum() for w in words) / n
@@ -111,7 +106,7 @@ def fit(texts, grades, grade_weights=None, epochs: int = 20, rate: float = 0.1,
 
 
 def fit_features(rows, grades, grade_weights=None, epochs: int = 20, rate: float = 0.1, decay: float = 2e-5, seed: int = 3, sparsity: float = 0.1) -> OrdinalModel:
-    """AdaGrad on the cumulative-link likelihood; thresholds stay ordered through their gaps.
+    """AdaGrad on the cumulative-link likelihood; a threshold never falls below the one before it (running maximum).
 
     ``sparsity``: an L1 penalty, taken off after each step, so that the many
     words that say nothing get no weight and do not add up in long texts.
@@ -164,7 +159,11 @@ FEATURES = "doc_id long, grade int, buckets binary, weights binary, dense binary
 
 
 def sampled(docs: DataFrame, few: DataFrame) -> list:
-    """(doc_id, grade, features of the whole text) of the documents in ``few``, in an order of their own."""
+    """(doc_id, grade, features of the whole text) of the documents in ``few``, in an order of their own.
+
+    One row per doc_id, however often its row is repeated: of different texts
+    the one with the least features, byte by byte.
+    """
     workers(docs.sparkSession)
 
     def run(batches):
@@ -174,8 +173,10 @@ def sampled(docs: DataFrame, few: DataFrame) -> list:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["doc_id", "grade", "buckets", "weights", "dense"])
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
-    rows = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, FEATURES).collect()  # bounded by sample_rows
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.buckets, r.weights, r.dense))
+    made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, FEATURES)
+    least = F.min(F.struct("buckets", "weights", "dense", "grade")).alias("x")
+    rows = made.groupBy("doc_id").agg(least).select("doc_id", "x.grade", "x.buckets", "x.weights", "x.dense").collect()  # at most sample_rows
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return [(r.doc_id, r.grade, tuple(np.frombuffer(x, kind) for x, kind in zip(r[2:], ("<i4", "<f8", "<f8")))) for r in rows]
 
 
@@ -224,5 +225,10 @@ def scored(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Trains and scores. Empty tables give an empty result; ties with the cutoff are kept."""
+    """Trains and scores every row of ``docs``, repeated ones alike.
+
+    Null text counts as empty, and a null doc_id is scored like any other.
+    Empty tables give an empty result; ties with the cutoff are kept. Columns
+    of ``docs`` beyond doc_id, text and ``carry`` are ignored.
+    """
     return scored(docs, train(docs, labels), carry)

@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where none is set."""
+    """The folder every executor sees, from ``spark.checkpoint.dir``.
+
+    A temporary one only in local mode, where driver and executors are one
+    process; on a cluster it must be set.
+    """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spanforge-shared-")
         sc.setCheckpointDir(known)
     elif not sc.getCheckpointDir():
