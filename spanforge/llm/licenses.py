@@ -209,21 +209,26 @@ def rule_matches(canon: Column, rule: Column) -> Column:
 
 
 def unsuppressed(found: Column) -> Column:
-    """Drops intervals inside the farthest-reaching kept one so far, unless their own priority is higher.
+    """Drops intervals inside a kept one of at least their priority.
 
     Longer intervals come first among those that start together, then higher
-    priority (a lower number), then the earlier rule.
+    priority (a lower number), then the earlier rule; so whatever contains an
+    interval has come before it, and of equal ones the first rule stays. For
+    each priority it is enough to know how far the kept intervals of that
+    priority or a higher one reach.
     """
+    order = sorted(WEIGHT)
     ordered = F.sort_array(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"))))
-    start = F.struct(F.lit(-1).alias("stop"), F.lit(99).alias("priority"), _nothing(DETECTION).alias("kept"))
+    start = F.struct(*(F.lit(-1).alias(f"reach{p}") for p in order), _nothing(DETECTION).alias("kept"))
 
     def step(a: Column, d: Column) -> Column:
         stop = -d["back"]
         one = F.struct(d["start"].alias("start"), stop.alias("stop"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"))
-        wider = stop > a["stop"]
-        return F.when((stop <= a["stop"]) & (a["priority"] <= d["priority"]), a).otherwise(
-            F.struct(F.greatest(stop, a["stop"]).alias("stop"), F.when(wider, d["priority"]).otherwise(a["priority"]).alias("priority"), F.concat(a["kept"], F.array(one)).alias("kept"))
-        )
+        reach = F.lit(-1)
+        for p in order:
+            reach = F.when(d["priority"] == p, a[f"reach{p}"]).otherwise(reach)
+        wider = [F.when(d["priority"] <= p, F.greatest(stop, a[f"reach{p}"])).otherwise(a[f"reach{p}"]).alias(f"reach{p}") for p in order]
+        return F.when(stop <= reach, a).otherwise(F.struct(*wider, F.concat(a["kept"], F.array(one)).alias("kept")))
 
     return F.aggregate(ordered, start, step)["kept"]
 
@@ -231,8 +236,10 @@ def unsuppressed(found: Column) -> Column:
 def scanned(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry``, ``n_words``, ``base`` places and ``detections`` of every whole text.
 
-    Null and empty texts have no words. Rows are scanned one by one, so repeated
-    ones give equal results and an empty table none.
+    Null and empty texts have no words. Texts are scanned whole, however long,
+    and row by row, so repeated ones give equal results and an empty table
+    none. Equal intervals of one priority: the earlier rule stays. Columns of
+    ``docs`` beyond ``carry`` and text are ignored, whatever their names.
     """
     table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern")) for i, p, label, k, x in rule_rows()))
     keywords = F.array(*(F.lit(k) for k in sorted({r[3] for r in rule_rows()} | {"license"})))

@@ -4,6 +4,7 @@ import glob
 import hashlib
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -75,6 +76,54 @@ def test_license_suppression(spark):
     assert [(d.start, d.stop, d.priority) for d in found] == [(0, 8, 2), (9, 12, 3)]
 
 
+def brute_detections(text):
+    """Every rule on every text, no prefilter; each interval against every other."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    canon = f" {' '.join(words)} "
+    found = []
+    for rule, priority, label, _, pattern in licenses.rule_rows():
+        for m in re.finditer(pattern, canon):
+            a = canon[: m.start()].count(" ") - 1
+            found.append((a, a + m[0].count(" ") + 1, priority, rule, label))
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and ((y[0], y[1], y[2]) != (x[0], x[1], x[2]) or y[3] < x[3])
+    return sorted(x for x in found if not any(inside(x, y) for y in found))
+
+
+def test_license_labels_against_brute_force(spark):
+    rules = licenses.rule_rows()
+    rng = random.Random(12)
+    some = [min(spelled(r[4].removeprefix("(?<= )").removesuffix("(?= )")), key=len) for r in rules]
+    mixed = [" ".join(rng.choice([rng.choice(some), rng.choice(some), "the", "and version 2 0"]) for _ in range(12)) for _ in range(150)]
+    rows = list(enumerate(mixed + [t for _, t in texts(spark)]))
+    got = {r.doc_id: r.detections for r in licenses.scanned(docs_of(spark, rows)).collect()}
+    want = {i: brute_detections(t) for i, t in rows}
+    assert {i: sorted((d.start, d.stop, d.priority, d.rule, d.label) for d in ds) for i, ds in got.items()} == want
+    assert sum(map(bool, want.values())) > 150
+    for r in licenses.digests(docs_of(spark, rows)).collect():
+        labels = {x[4] for x in want[r.doc_id]} | set(filter(None, r.base_labels.split(",")))
+        assert r.labels == ",".join(sorted(labels))
+        assert r.score == max([licenses.WEIGHT[x[2]] for x in want[r.doc_id]] + [licenses.WEIGHT[3]] * (r.n_base > 0), default=0.0)
+
+
+def test_license_containment(spark):
+    """The farthest-reaching interval is not the only one that can suppress."""
+    for given, left in (
+        ([(0, 10, 2), (1, 5, 1), (2, 4, 1)], [(0, 10, 2), (1, 5, 1)]),
+        ([(0, 10, 3), (5, 12, 4), (6, 9, 3)], [(0, 10, 3), (5, 12, 4)]),
+        ([(0, 4, 3), (0, 4, 2), (0, 4, 2)], [(0, 4, 2)]),
+        ([(0, 4, 2), (0, 3, 1), (1, 4, 2)], [(0, 3, 1), (0, 4, 2)]),
+    ):
+        df = spark.createDataFrame([([(a, b, p, i, "x") for i, (a, b, p) in enumerate(given)],)], f"d array<{licenses.DETECTION}>")
+        kept = df.select(licenses.unsuppressed(F.col("d")).alias("k")).first().k
+        assert sorted((d.start, d.stop, d.priority) for d in kept) == sorted(left)
+
+
+def test_license_long_text(spark):
+    text = "word " * 60_000 + "mit license " + "word " * 60_000
+    r = licenses.digests(docs_of(spark, [(1, text)])).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (120_002, 1, 60_000, "mit")
+
+
 def spelled(pattern):
     """The texts a rule's pattern matches, each class and option spelled out; any run is one ``z``."""
 
