@@ -94,22 +94,33 @@ def formatted(convs: DataFrame, template: Mapping = TEMPLATE) -> DataFrame:
 def read_back(out: DataFrame, template: Mapping = TEMPLATE) -> DataFrame:
     """Turns and learnt text, from the formatted string and its mask alone.
 
-    Raises where the mask's runs do not fit the string.
+    The literals cut the string into consecutive pieces (start to middle, text,
+    end). The mask's runs must be as many and as long, one by one, so that a
+    run's offsets are those of its piece; else this raises. What is learnt are
+    the pieces under runs with loss, whichever they are.
     """
+    start, middle, end = (F.lit(template[k]) for k in ("start", "middle", "end"))
     cut = F.expr("split(formatted, '\\\\Q" + template["start"] + "\\\\E', -1)")
-    part = lambda s: F.struct(
-        F.substring_index(s, template["middle"], 1).alias("role"),
-        F.substring_index(F.substring_index(s, template["middle"], -1), template["end"], 1).alias("text"),
-    )
-    bodies = F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(1)) - 1), part)
-    runs = F.filter("mask", lambda m, i: i % 3 == 1)
-    turn = lambda t, m: F.struct(
-        unescaped(t["role"]).alias("role"),
-        unescaped(t["text"]).alias("text"),
-        F.when(F.char_length(t["text"]) == m["length"], m["loss"]).otherwise(F.raise_error(F.lit("the loss mask does not fit"))).alias("loss"),
+
+    def pieces(s: Column) -> Column:
+        role = F.substring_index(s, template["middle"], 1)
+        text = F.substring_index(F.substring_index(s, template["middle"], -1), template["end"], 1)
+        tail = F.substr(s, F.char_length(role) + F.char_length(middle) + F.char_length(text) + 1)
+        return F.array(F.concat(start, role, middle), text, tail)
+
+    whole = F.flatten(F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(1)) - 1), pieces))
+    bad = F.raise_error(F.lit("the loss mask does not fit"))
+    under = lambda p, m: F.struct(p.alias("text"), F.when(F.char_length(p) == m["length"], m["loss"]).otherwise(bad).alias("loss"))
+    fits = F.when(F.size("_p") == F.size("mask"), F.zip_with("_p", "mask", under)).otherwise(bad)
+    back = out.withColumn("_p", whole).withColumn("_p", fits)
+    role_of = lambda p: F.substr(p, F.char_length(start) + 1, F.char_length(p) - F.char_length(start) - F.char_length(middle))
+    turn = lambda p, i: F.struct(
+        unescaped(role_of(F.get("_p", i - 1)["text"])).alias("role"), unescaped(p["text"]).alias("text"), p["loss"].alias("loss"), (i % 3).alias("k"), (F.get("_p", i + 1)["text"] == end).alias("closed")
     )
-    back = out.withColumn("turns", F.zip_with(bodies, runs, turn))
-    return back.withColumn("loss_text", F.concat_ws("", F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"])))
+    turns = F.filter(F.transform("_p", turn), lambda t: t["k"] == 1)
+    turns = F.transform(turns, lambda t: F.when(t["closed"], F.struct(t["role"].alias("role"), t["text"].alias("text"), t["loss"].alias("loss"))).otherwise(F.raise_error(F.lit("a turn has no end"))))
+    learnt = F.concat_ws("", F.transform(F.filter("_p", lambda p: p["loss"]), lambda p: unescaped(p["text"])))
+    return back.withColumn("turns", turns).withColumn("loss_text", learnt).drop("_p")
 
 
 def digests(turns: DataFrame, template: Mapping = TEMPLATE) -> DataFrame:

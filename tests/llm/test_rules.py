@@ -220,6 +220,37 @@ def test_chat(spark):
     assert chat.digests(turns.where("false")).count() == 0
 
 
+def test_chat_learns_what_the_mask_covers(spark):
+    """The learnt text is the string cut at the mask's offsets; a mask that does not fit raises."""
+    rows = [(1, 0, "system", "be <kind> ~"), (1, 1, "user", "[hi] 漢😀"), (1, 2, "assistant", "né~<[\n"), (1, 3, "user", ""), (1, 4, "assistant", "second"), (2, 0, "user", "only")]
+    out = chat.formatted(chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    for r in chat.read_back(out).collect():
+        at, learnt = 0, ""
+        for m in r.mask:
+            learnt += r.formatted[at : at + m.length] if m.loss else ""
+            at += m.length
+        assert at == len(r.formatted)
+        for plain, code in reversed(chat._ESCAPES):
+            learnt = learnt.replace(code, plain)
+        assert r.loss_text == learnt == "".join(t for c, _, role, t in rows if c == r.conv_id and role == "assistant")
+    # Flags on a literal would show.
+    moved = out.withColumn("mask", F.transform("mask", lambda m, i: F.struct(m["length"].alias("length"), (i == 0).alias("loss"))))
+    assert {r.loss_text for r in chat.read_back(moved).collect()} == {"<|turn|>system<|text|>", "<|turn|>user<|text|>"}
+    for wrong in (F.transform("mask", lambda m, i: F.struct((m["length"] + F.when(i == 1, 1).when(i == 2, -1).otherwise(0)).alias("length"), m["loss"].alias("loss"))), F.slice("mask", 2, 100)):
+        with pytest.raises(Exception, match="does not fit"):
+            chat.read_back(out.withColumn("mask", wrong)).collect()
+
+
+def test_chat_long_texts_and_other_columns(spark):
+    """Very long texts, very many turns, and columns with names that are used inside."""
+    long = "<|end|> [x] ~ é " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as mask", "2 as turns", "3 as formatted", "4 as _p", "5 as valid", "6 as loss_text")
+    got = {r.conv_id: r for r in chat.digests(turns).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[2].n_turns == 3000 and got[2].valid and got[2].loss_sha256 == hashlib.sha256("".join(f"turn {i}" for i in range(1, 3000, 2)).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     import duckdb
