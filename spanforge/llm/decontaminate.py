@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut, text_or_empty
+from spanforge.llm.common import cut, text_or_empty, written
 from spanforge.llm.quality import let
 
 #: A mask reads positions {0, 1} + {0, a} + {0, b}: eight tokens. The three share
@@ -26,6 +26,10 @@ MISMATCH, MIN_SCORE = 2, 12
 SHARE = (3, 5)
 #: Benchmark seeds that may be broadcast (some hundred bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 200_000
+#: Hits that may be broadcast to the documents' texts; beyond it these are shuffled.
+BROADCAST_HITS = 200_000
+#: Words of 64 bits in the sieve that large benchmarks' seeds make: its size is bounded, whatever theirs is.
+SIEVE_WORDS = 1 << 20
 BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -99,17 +103,29 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, few: bool) -> DataFrame:
     # An outer explode: an inner one would repeat all the hashing in a filter below it.
     rows = tokens.select("doc_id", F.size("_tokens").alias("_n"), F.posexplode_outer("_seeds").alias("_at", "seed"))
     narrow = seeds.select("seed", "mask", "item_pos", "item_id", F.size("item_tokens").alias("item_words"))
-    found = rows.join(F.broadcast(narrow) if few else narrow, "seed")
+    found = rows.join(F.broadcast(narrow), "seed") if few else sieved(rows, narrow).join(narrow, "seed")
     # A hash of one mask equals one of another only by chance; the check of the overlap would not care.
     diagonal = (position(F.col("_at"), F.col("mask"), F.col("_n")) - F.col("item_pos")).cast("int")
     return found.select("doc_id", "item_id", diagonal.alias("diagonal"), "item_words").where("diagonal is not null").distinct()
 
 
+def sieved(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows whose seed may be one of ``seeds``: others stay where they are instead of being shuffled."""
+    word = F.pmod(F.shiftright("seed", 6), F.lit(SIEVE_WORDS)).alias("_word")
+    bit = F.pmod("seed", F.lit(64)).cast("int")
+    sieve = seeds.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    some = rows.where("seed is not null").withColumn("_word", word).join(F.broadcast(sieve), "_word")
+    return some.where(F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(1) == 1).drop("_word", "_bits")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified hits: doc_id, item_id, score, matched, start (word), item_start."""
     seeds = cut(benchmark_seeds(benchmark))
     few = seeds.count() <= BROADCAST_SEEDS
-    diagonals = seed_hits(docs, seeds, few).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("_hits"))
+    found = written(seed_hits(docs, seeds, few), "seed-hits")
+    diagonals = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("_hits"))
+    if found.count() <= BROADCAST_HITS:  # then only the texts that are hit are read again, where they are
+        diagonals = F.broadcast(diagonals)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(diagonals, F.col("_id").eqNullSafe(F.col("doc_id")))
     around = let(
         F.transform(F.filter(F.split(F.lower(text_or_empty()), BREAK), lambda w: w != ""), lambda w: F.xxhash64(w)),
@@ -163,6 +179,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents; those without an id go if any of them is hit."""
-    bad = hits(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    """``docs`` without contaminated documents; those without an id go if any of them is hit.
+
+    Null, empty and short texts stay, and so do all rows where a table is
+    empty. Repeated rows stay or go together. All columns are kept as they are.
+    """
+    bad = written(hits(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated-ids")
+    if bad.count() <= BROADCAST_HITS:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -74,14 +74,23 @@ def test_short_items(spark):
     assert sorted(r.doc_id for r in d.clean(docs_of(spark, docs), bench).collect()) == sorted(i for i, _ in docs if (i, i % 100) not in want)
 
 
-def test_shuffled_seeds_give_the_same(spark):
+def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(map(tuple, d.contaminated(docs, bench).collect()))
-    old, d.BROADCAST_SEEDS = d.BROADCAST_SEEDS, 0
-    try:
-        assert sorted(map(tuple, d.contaminated(docs, bench).collect())) == one
-    finally:
-        d.BROADCAST_SEEDS = old
+    kept = sorted(r.doc_id for r in d.clean(docs, bench).collect())
+    monkeypatch.setattr(d, "BROADCAST_HITS", 0)
+    assert sorted(map(tuple, d.contaminated(docs, bench).collect())) == one
+    assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == kept
+    monkeypatch.setattr(d, "BROADCAST_SEEDS", 0)
+    assert sorted(map(tuple, d.contaminated(docs, bench).collect())) == one
+
+
+def test_sieve_lets_all_seeds_through(spark, monkeypatch):
+    monkeypatch.setattr(d, "SIEVE_WORDS", 1 << 10)
+    seeds = spark.range(3000).selectExpr("xxhash64(id) as seed")
+    rows = spark.range(200_000).selectExpr("id", "xxhash64(id) as seed")
+    got = [r.id for r in d.sieved(rows, seeds).select("id").collect()]
+    assert set(range(3000)) <= set(got) and len(got) < 20_000 and len(set(got)) == len(got)
 
 
 def test_awkward_documents(spark):
