@@ -202,13 +202,83 @@ def test_pii_base(spark):
 
 def test_pii_reliabilities():
     """A labeler that agrees with the others is trusted more than one that votes at random."""
-    counts = {(1, 1, 1, 1, 0): 80, (0, -1, 1, -1, -1): 90, (0, -1, -1, -1, -1): 100, (1, 1, -1, 1, 0): 70}
+    counts = {(1, 1, 1, 1, 0, 0): 80, (-1, -1, 1, -1, -1, 0): 90, (0, -1, -1, -1, -1, 0): 100, (1, 1, -1, 1, 0, 0): 70}
     _, rate, post = pii.reliabilities(counts)
     assert rate[1, 1, 1] - rate[1, 0, 1] > 0.5 > abs(rate[2, 1, 1] - rate[2, 0, 1])
-    assert post[1, 1, -1, 1, 0] > 0.9 and post[0, -1, 1, -1, -1] < 0.1
+    assert post[1, 1, -1, 1, 0, 0] > 0.9 and post[-1, -1, 1, -1, -1, 0] < 0.1
     assert pii.reliabilities({})[2] == {}
 
 
+def test_pii_places(spark):
+    """Running sums over several blocks, and spans of a text with very many matches."""
+    xs = [i % 7 for i in range(3 * pii.MATCH_BLOCK + 5)]
+    got = spark.createDataFrame([(xs,), ([4],)], "x array<bigint>").select(pii.running(F.col("x")).alias("r")).collect()
+    assert [r.r for r in got] == [[sum(xs[: i + 1]) for i in range(len(xs))], [4]]
+    text = " ".join(f"a{i}@b{i}.org é" for i in range(1000))
+    r = pii.digests(docs_of(spark, [(1, text)])).first()
+    assert r.n_email == 1000 and r.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    some = [-3, 0, 0, 2, 9]
+    cols = [pii.below(F.array(*map(F.lit, some)), F.lit(x)).alias(f"c{i}") for i, x in enumerate(range(-4, 11))]
+    assert list(spark.range(1).select(*cols).first()) == [sum(y < x for y in some) for x in range(-4, 11)]
+
+
+def pii_corpus(n=400):
+    """Texts with spans that are personal, spans that only look so, and which is which."""
+    rng = random.Random(21)
+    num = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+    hex_ = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+
+    def iban(right):
+        body = num(18)
+        check = 98 - int(body + "131400") % 97
+        return f"DE{(check if right else (check + 40) % 97):02d}{body}"
+
+    yes = {
+        "phone": lambda: f"call ({rng.randint(201, 989)}) {rng.randint(200, 999)}-{num(4)}",
+        "iban": lambda: f"our bank account {iban(True)}",
+        "ssn": lambda: f"ssn {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "key": lambda: f"token: ghp_{hex_(36)}",
+        "email": lambda: f"mail bob{num(3)} [at] gmail (dot) com",
+    }
+    no = {
+        "phone": lambda: f"order {rng.randint(1990, 2024)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
+        "iban": lambda: f"serial {iban(False)}",
+        "ssn": lambda: f"item 9{num(2)}-00-{num(4)}",
+        "card": lambda: "isbn " + next(d for d in iter(lambda: num(16), None) if not luhn(d)),
+        "ip": lambda: f"version 2{num(3)}.{num(1)}.{num(1)}.{num(1)}",
+    }
+    out = []
+    for i in range(n):
+        kind, (personal, make) = (k := rng.choice(sorted(yes if i % 2 else no))), (bool(i % 2), (yes if i % 2 else no)[k])
+        base = f"write to x{i}@mail.example.org or +49 30 {num(7)}" if i % 4 == 0 else "plain words"
+        out.append((i, f"{base} and so on, {make()} and more words", kind, personal))
+    return out
+
+
+def test_pii_classifier_accepts_and_rejects(spark):
+    """Of planted spans with a known truth, nearly all personal ones are added and nearly all others rejected."""
+    planted = pii_corpus()
+    got = {r.doc_id: r for r in pii.digests(docs_of(spark, [(i, t) for i, t, _, _ in planted])).collect()}
+    added = {i: set(r.spans.split(",")) - set(base_spans(planted[i][1])) - {""} for i, r in got.items()}
+    right = [any(s.startswith(kind + ":") for s in added[i]) for i, _, kind, personal in planted if personal]
+    wrong = [bool(added[i]) for i, _, kind, personal in planted if not personal]
+    assert sum(right) >= 0.95 * len(right)
+    assert sum(wrong) <= 0.05 * len(wrong)
+
+
+def test_pii_checks(spark):
+    ibans = [("DE89370400440532013000", True), ("GB82 WEST 1234 5698 7654 32", True), ("DE89370400440532013001", False), ("XX89370400440532013000", False)]
+    for text, want in ibans:
+        span = F.struct(F.lit("iban").alias("kind"), F.lit(text).alias("found"))
+        assert spark.range(1).select(pii._structure(span)).first()[0] == want
+
+
+def test_pii_without_training(spark):
+    """Nothing but empty texts: nothing learnt, nothing added."""
+    got = pii.digests(docs_of(spark, [(1, None), (2, ""), (2, "")])).collect()
+    assert [(r.n_email, r.spans) for r in got] == [(0, "")] * 3
+
+
 def test_chat(spark):
     hard = "</s>[INST] ~0 <|turn|> <|text|><|end|> [/INST] ~~1"
     rows = [(1, 0, "system", hard), (1, 1, "user", ""), (1, 2, "assistant", hard), (2, 0, "assistant", "first"), (2, 1, None, None), (None, 0, "user", "no id"), (3, None, "user", "late"), (3, 0, "assistant", "x"), (4, 0, "user", "a"), (4, 0, "user", "a")]
