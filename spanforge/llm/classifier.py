@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import text_or_empty, workers
+from spanforge.llm.common import lean, text_or_empty, workers
 
 #: Labelled documents read for fitting.
 SAMPLE_ROWS = 6000
@@ -36,7 +36,7 @@ MIN_DOCUMENTS = 5
 
 
 #: Words a worker keeps the buckets of.
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 16
 
 
 class _Buckets(dict):
@@ -173,7 +173,7 @@ def sampled(docs: DataFrame, few: DataFrame) -> list:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["doc_id", "grade", "buckets", "weights", "dense"])
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
-    made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, FEATURES)
+    made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(lean(run), FEATURES)
     least = F.min(F.struct("buckets", "weights", "dense", "grade")).alias("x")
     rows = made.groupBy("doc_id").agg(least).select("doc_id", "x.grade", "x.buckets", "x.weights", "x.dense").collect()  # at most sample_rows
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
@@ -221,7 +221,7 @@ def scored(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, cols)], [*(f.name for f in keep), "score", "expected_grade", "p_poor_or_better", "p_good", "kept"])
 
     columns = [F.col(f.name) for f in keep] + ([] if text_column else [text_or_empty().alias("_text")])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

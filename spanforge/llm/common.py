@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +62,41 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows that go to a Python worker at once, where the session leaves Spark's 64 MB.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_DEFAULT = 8 << 20, 64 << 20
+
+
 def workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver's path has it."""
+    """Let Python workers import this package when only the driver's path has it, and take rows in small batches.
+
+    A batch stands in the executor's heap, its Arrow buffers and the worker at
+    once, on the way there and back, so large ones cost many times their size.
+    """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    if spark.conf.get(BATCH, None) in (None, str(BATCH_DEFAULT), f"{BATCH_DEFAULT}b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def lean(run):
+    """``run`` over a task's batches; then what the worker no longer needs goes back to the system.
+
+    Workers live on from stage to stage, and the room that one of them leaves
+    lying idle is missing to the executor beside it.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return task
 
 
 def text_or_empty(col: str = "text"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import text_or_empty, workers, written
+from spanforge.llm.common import lean, text_or_empty, workers, written
 from spanforge.llm.tokens import encoded
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                     totals.append(len(data) // 4)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, PIECE)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(run), PIECE)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:

@@ -165,7 +165,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         end, total = np.asarray([end_id], dtype=kind), np.zeros(0, np.int64)
         for batch in batches:
             data, sizes = [], []
-            for got in encoded(batch.column(1), tokenizer_path, True):
+            for got in encoded(batch.column(1), tokenizer_path, True, larger=2):
                 data.append(np.append(got, end).tobytes())
                 sizes.append(len(got) + 1)
             if not data:

@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks in a generation of a worker's cache, some 200 bytes each; bounds its memory.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 #: Characters that are cut and encoded at once.
-PORTION = 10 << 20
+PORTION = 4 << 20
 
 
 def _byte_letters() -> str:
@@ -46,11 +46,11 @@ class _Chunks(dict):
     def __init__(self, owner):
         super().__init__()
         self.owner, self.prefix, self.marks, self.old = owner, " " if owner.spaced else "", {}, {}
-        self.letter = self.prefix.translate(LETTERS)
+        self.letter, self.most = self.prefix.translate(LETTERS), CACHE_CHUNKS
 
     def of(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks. Plain words go straight to the BPE model."""
-        if len(self) > CACHE_CHUNKS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
             self.marks.clear()
@@ -172,13 +172,18 @@ def encoder(path: str, spaced: bool) -> TextEncoder:
     return _ENCODERS[path, spaced]
 
 
-def encoded(texts: pa.Array, path: str, spaced: bool):
-    """Ids of each text, in order, some ``PORTION`` characters at a time; null counts as empty."""
+def encoded(texts: pa.Array, path: str, spaced: bool, larger: int = 1):
+    """Ids of each text, in order, some ``PORTION`` characters at a time; null counts as empty.
+
+    ``larger``: that many times the memory for the cache and for what is encoded
+    at once, for tasks that hold little else.
+    """
     enc, held, size = encoder(path, spaced), [], 0
+    enc.chunks.most = larger * CACHE_CHUNKS
     for t in texts:
         held.append(t.as_py() or "")
         size += len(held[-1])
-        if size >= PORTION:
+        if size >= larger * PORTION:
             yield from enc.encode_many(held)
             held, size = [], 0
     yield from enc.encode_many(held)
