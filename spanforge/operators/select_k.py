@@ -101,7 +101,11 @@ def elbow_second_frame(points: DataFrame) -> DataFrame:
 
 
 class LMethod(Evaluator):
-    """Two straight lines; the knee is the last point of the left one."""
+    """Two straight lines; the knee is the last point of the left one.
+
+    The left line has ``min_points_per_line`` points at least, two in any case;
+    the right one may have one less, and fits a lone point exactly.
+    """
 
     def __init__(self, iterative: bool = True, min_points_per_line: int = 2, **bounds):
         super().__init__(**bounds)
@@ -120,7 +124,7 @@ class LMethod(Evaluator):
         if n < 3:
             return int(k[0])
         best, at = math.inf, None
-        for c in range(self.least - 1, n - self.least):
+        for c in range(max(1, self.least - 1), min(n - 1, n - self.least + 1)):
             left = c + 1
             cost = left / n * self._rmse(k[:left], v[:left]) + (n - left) / n * self._rmse(k[left:], v[left:])
             if cost < best:

@@ -147,6 +147,28 @@ def _labelled():
     return view, cols, flat, ctes
 
 
+def _merged(linkage: str, final: str, k: int) -> str:
+    """Merges the closest two clusters until ``k`` are left; a cluster is named by its smallest row.
+
+    m: step, row, cluster. Linkages by their definitions over rows, not by updates.
+    """
+    view = "iv_nation"
+    cols = _cols(view)
+    value = {"single": "min(d.d)", "complete": "max(d.d)", "average": "avg(d.d)"}.get(linkage)
+    if value:
+        best = f"select a.c as ca, b.c as cb, {value} as v from m a join m b on a.c < b.c join d on d.i = a.r and d.j = b.r group by a.c, b.c"
+    else:
+        flat = [c for p in cols for c in p]
+        mean = ", ".join(f"avg(x.{c}) as {c}" for c in flat)
+        middle = f"(select m.c, count(*) as n, {mean} from m join x on x.row_id = m.r group by m.c)"
+        square = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in flat)
+        best = f"select a.c as ca, b.c as cb, 2.0 * a.n * b.n / (a.n + b.n) * ({square}) as v from {middle} a join {middle} b on a.c < b.c"
+    dist = f"select a.row_id as i, b.row_id as j, {distance('euclidean', cols, eps=True)} as d from x a join x b on a.row_id <> b.row_id"
+    step = f"select m.step + 1, m.r, case when m.c = p.cb then p.ca else m.c end from m, ({best} order by v, ca, cb limit 1) p where m.step < (select count(*) from x) - {k}"
+    ctes = [(view, VIEWS[view]), *_scaled(view), ("d", dist), ("m(step, r, c)", f"select 0, row_id, row_id from x union all {step}")]
+    return "with recursive " + ",\n".join(f"{n} as ({q})" for n, q in ctes) + "\n" + final
+
+
 def statements() -> dict[str, str]:
     o: dict[str, str] = {}
     sup = _cols("iv_supplier")
@@ -222,6 +244,8 @@ def statements() -> dict[str, str]:
     for steps in (0, 1, 3):
         view, cols, flat, ctes = _lloyd(steps)
         o["assign_nearest" if steps == 0 else f"lloyd_{steps}"] = _with(view, *ctes, final=f"select row_id, cluster from a{steps}")
+    view, cols, flat, ctes = _lloyd(3)
+    o["kmeans_summary"] = _with(view, *ctes, final=f"select cluster, {', '.join(r6(f'avg(x.{c})', c) for c in flat)}, count(*) as n from x join a3 using (row_id) group by cluster")
     view, cols, flat, ctes = _lloyd(1)
     o["inertia"] = _with(view, *ctes, final=f"select round(sum(pow({distance('euclidean', cols, a='x', b='c')}, 2)), 6) + 0.0 as inertia from x join a1 using (row_id) join c1 c using (cluster)")
 
@@ -257,13 +281,53 @@ def statements() -> dict[str, str]:
     )
     o["dunn"] = _with(view, *ctes, pairs, final="select round(min(d) filter (where ca <> cb) / max(d) filter (where ca = cb), 6) + 0.0 as value from p")
 
+    for linkage in ("single", "complete", "average", "ward"):
+        o[f"agglo_{linkage}"] = _merged(linkage, "select r as row_id, c as first_row from m where step = (select max(step) from m)", 3)
+    # A cut into k clusters is the state with k labels; clusters are numbered by their first rows.
+    o["agglo_cuts"] = _merged("average", "select (select count(*) from x)::int - step as k, r as row_id, (dense_rank() over (partition by step order by c) - 1)::int as cluster from m where (select count(*) from x) - step between 2 and 4", 2)
+
     k = "select * from (values " + ", ".join(f"({k}, {v}::double)" for k, v in K_SERIES) + ") as t(k, value)"
     grad = lambda x: f"case when lag({x}) over (order by k) is null then lead({x}) over (order by k) - {x} when lead({x}) over (order by k) is null then {x} - lag({x}) over (order by k) else (lead({x}) over (order by k) - lag({x}) over (order by k)) / 2 end"
     o["elbow_curvature"] = f"with t as ({k}), a as (select k, {grad('value')} as d1 from t), b as (select k, d1, {grad('d1')} as d2 from a) select k from b order by abs(d2) / pow(1 + d1 * d1, 1.5) desc, k limit 1"
     o["elbow_second"] = f"with t as ({k}), s as (select k, (lead(value) over (order by k) - value) / (lead(k) over (order by k) - k) as s from t), b as (select k, s - lag(s) over (order by k) as bend from s) select k from b where bend is not null order by bend desc, k limit 1"
     side = lambda cond: f"(select regr_slope(value, k) as m, regr_intercept(value, k) as b, count(*) as n from t where {cond})"
     rmse = lambda cond, s: f"sqrt((select avg(pow(value - {s}.m * k - {s}.b, 2)) from t where {cond}))"
-    o["lmethod"] = f"with t as ({k}), c as (select k as c from t where k between 3 and 8) select c as k from c, lateral {side('k <= c')} l, lateral {side('k > c')} r order by (l.n * {rmse('k <= c', 'l')} + r.n * {rmse('k > c', 'r')}) / (l.n + r.n), c limit 1"
+    def knee(name: str, source: str) -> list[tuple[str, str]]:
+        """The best split of ``source`` (k, value): a lone point on the right is met exactly."""
+        side = lambda cond: f"(select coalesce(regr_slope(value, k), 0) as m, coalesce(regr_intercept(value, k), avg(value)) as b, count(*) as n from {source} where {cond})"
+        rmse = lambda cond, s: f"sqrt((select avg(pow(value - {s}.m * k - {s}.b, 2)) from {source} where {cond}))"
+        splits = f"select k as c from (select k, row_number() over (order by k) as i, count(*) over () as n from {source}) where i between 2 and n - 1"
+        cost = f"(l.n * {rmse('k <= c', 'l')} + r.n * {rmse('k > c', 'r')}) / (l.n + r.n)"
+        return [(f"{name}_c", splits), (name, f"select c as k from {name}_c, lateral {side('k <= c')} l, lateral {side('k > c')} r order by {cost}, c limit 1")]
+
+    chain = lambda ctes, final: "with " + ", ".join(f"{n} as ({q})" for n, q in ctes) + " " + final
+    o["lmethod"] = chain([("t", k), *knee("k1", "t")], "select k from k1")
+    # Each step looks at the points up to twice the last knee, five at least, until the knee stops falling.
+    steps = [("t", k), *knee("k1", "t")]
+    for i in (2, 3, 4, 5):
+        steps.append((f"t{i}", f"select k, value from (select t.*, row_number() over (order by k) as i from t) where i <= greatest(5, (select count(*) from t, k{i - 1} where t.k <= 2 * k{i - 1}.k))"))
+        steps += knee(f"k{i}", f"t{i}")
+    ended = "(select k from k5)"
+    for i in (5, 4, 3, 2):
+        now, before = f"(select k from k{i})", f"(select k from k{i - 1})"
+        ended = f"case when {now} >= {before} or {now} <= 2 then least({now}, {before}) else {ended} end"
+    o["lmethod_iterative"] = chain(steps, f"select {ended} as k")
+    gaps = [(k_, g) for (k_, _), g in zip(K_SERIES, (0.1, 0.2, 0.35, 0.4, 0.41, 0.43, 0.44, 0.45, 0.46))]
+    o["gap_select"] = (
+        "with g as (select * from (values " + ", ".join(f"({k_}, {g}::double)" for k_, g in gaps) + ") as t(k, gap)), "
+        "d as (select k, gap, gap - lag(gap) over (order by k) as jump, lead(gap) over (order by k) as next from g), "
+        "m as (select avg(jump) + stddev_pop(jump) as high from d) "
+        "select coalesce((select min(k) from d, m where jump > high), (select min(k) from d where gap >= next - 0.02 * sqrt(1.1)), (select max(k) from g)) as k"
+    )
+    o["bezier"] = (
+        "with s(id, x0, y0, x1, y1, target) as (values (1, 0.0::double, 0.5::double, 1.0::double, 0.5::double, 0.8::double), (2, 0.0, 0.1, 1.0, 0.9, 0.2)), "
+        "c as (select *, (x0 + x1) / 2 as mx, 0.2 * (y0 + y1) / 2 + 0.8 * target as my, (x1 - x0) / 6 as run from s), "
+        "h as (select id, 0 as half, x0 as ax, x0 + run as bx, mx - run as cx, mx as dx, y0 as ay, my as dy from c "
+        "union all select id, 1, mx, mx + run, x1 - run, x1, my, y1 from c), "
+        "p as (select h.*, i::int as point, i / 49.0::double as t from h, range(50) as r(i)) "
+        "select id, half, point, round(pow(1 - t, 3) * ax + 3 * pow(1 - t, 2) * t * bx + 3 * (1 - t) * t * t * cx + pow(t, 3) * dx, 6) + 0.0 as x, "
+        "round(pow(1 - t, 3) * ay + 3 * pow(1 - t, 2) * t * ay + 3 * (1 - t) * t * t * dy + pow(t, 3) * dy, 6) + 0.0 as y from p"
+    )
     o["maxmin"] = f"with t as ({k}) select k from t order by value desc, k limit 1"
 
     view, cols, flat, ctes = _labelled()
