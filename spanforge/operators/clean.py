@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from spanforge.operators.frame import IntervalFrame, quoted
 
@@ -104,6 +105,33 @@ def has_missing(frame: IntervalFrame) -> bool:
     return bool(frame.df.agg(F.max(_any(quoted(c).isNull() for c in frame.bound_columns))).first()[0])
 
 
+def _nearest(column: str, order, forward: bool):
+    """The row's value, else the last one before it (the first after it)."""
+    if forward:
+        return F.last(quoted(column), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return F.first(quoted(column), ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+
+
+def _filled_by_range(df: DataFrame, key: str, columns: list[str], forward: bool) -> DataFrame:
+    """Fills within ranges of the key; a range's outermost values, one row a range, are broadcast to the others."""
+    at = quoted(key)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("c")).first().c or []
+    number = F.lit(0)
+    for c in sorted(set(cuts)):
+        number = number + F.when(at > F.lit(c), 1).otherwise(0)
+    rows = df.withColumn("_range", number)
+    outer = F.max_by if forward else F.min_by
+    ends = rows.groupBy("_range").agg(*(outer(quoted(c), F.when(quoted(c).isNotNull(), at)).alias(f"_e{i}") for i, c in enumerate(columns)))
+    across = W.orderBy("_range")  # one row a range
+    other = across.rowsBetween(W.unboundedPreceding, -1) if forward else across.rowsBetween(1, W.unboundedFollowing)
+    pick = F.last if forward else F.first
+    carried = ends.select("_range", *(pick(f"_e{i}", ignorenulls=True).over(other).alias(f"_c{i}") for i in range(len(columns))))
+    within = W.partitionBy("_range").orderBy(at)
+    joined = rows.join(F.broadcast(carried), "_range")
+    return joined.withColumns({c: F.coalesce(_nearest(c, within, forward), F.col(f"_c{i}")) for i, c in enumerate(columns)}).select(*df.columns)
+
+
 class MissingIntervals:
     """Intervals with a missing bound. Filling treats each bound column by itself, so a result can be inverted."""
 
@@ -121,8 +149,12 @@ class MissingIntervals:
         return {"has_missing": total > 0, "total_missing": total, "missing_by_feature": counts, "missing_details": self.details(frame)}
 
     def fix(self, frame: IntervalFrame, action: MissingAction | str = MissingAction.DROP_ROWS, fill_value: float | None = None, partition_by: tuple[str, ...] = ()) -> IntervalFrame:
-        """Forward and backward filling follow the key; over the whole table that is one sorted run
-        unless ``partition_by`` names columns within which to fill."""
+        """Forward and backward filling follow the key, over the whole table or within ``partition_by``.
+
+        Over the whole table with a numeric key, ranges of keys are filled by
+        themselves and take over the nearest value of the ranges before (or
+        after) them; with another key it is one sorted run.
+        """
         action = _action(MissingAction, action)
         columns = frame.bound_columns
         if action is MissingAction.IGNORE:
@@ -134,12 +166,10 @@ class MissingIntervals:
                 raise ValueError("fill_custom needs a fill_value")
             return frame.with_df(frame.df.withColumns({c: F.coalesce(quoted(c), F.lit(fill_value)) for c in columns}))
         if action in (MissingAction.FILL_FORWARD, MissingAction.FILL_BACKWARD):
-            order = W.partitionBy(*partition_by).orderBy(quoted(frame.require_key()))
-            if action is MissingAction.FILL_FORWARD:
-                new = {c: F.last(quoted(c), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)) for c in columns}
-            else:
-                new = {c: F.first(quoted(c), ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)) for c in columns}
-            return frame.with_df(frame.df.withColumns(new))
+            forward, key = action is MissingAction.FILL_FORWARD, frame.require_key()
+            if not partition_by and isinstance(frame.df.schema[key].dataType, NumericType):
+                return frame.with_df(_filled_by_range(frame.df, key, columns, forward))
+            return frame.with_df(frame.df.withColumns({c: _nearest(c, W.partitionBy(*partition_by).orderBy(quoted(key)), forward) for c in columns}))
         stat = {
             MissingAction.FILL_MEAN: F.avg,
             MissingAction.FILL_MEDIAN: lambda c: F.percentile(c, 0.5),

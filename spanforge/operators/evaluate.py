@@ -13,8 +13,6 @@ from spanforge.operators import pairs
 from spanforge.operators.frame import IntervalFrame, quoted
 
 SMALL = 1e-15
-#: Centres that may be broadcast.
-BROADCAST_CENTRES = 10_000
 
 
 def _flat(frame: IntervalFrame, label: str) -> DataFrame:
@@ -30,15 +28,16 @@ def _centres(frame: IntervalFrame, centers: DataFrame, position: bool) -> DataFr
 
 
 def _to_own_centre(frame: IntervalFrame, label: str, centers: DataFrame, metric, position: bool) -> DataFrame:
-    """(label, d) of every row; rows without a centre have no d."""
+    """(label, d) of every row; rows without a centre have no d.
+
+    Whether centres are broadcast is left to their size as Spark measures it.
+    """
     rows, own = _flat(frame, label), _centres(frame, centers, position)
     if position:
         names = rows.select("label").distinct().withColumn("c", F.row_number().over(W.orderBy("label")))
-        rows = rows.join(F.broadcast(names), "label")
+        rows = rows.join(names, "label")
     else:
         rows = rows.withColumn("c", F.col("label"))
-    if own.limit(BROADCAST_CENTRES + 1).count() <= BROADCAST_CENTRES:
-        own = F.broadcast(own)
     n = frame.n_features
     return rows.join(own, "c", "left").select("label", metric(pairs._bounds("a", n), pairs._bounds("b", n), eps=True).alias("d"))
 

@@ -102,11 +102,16 @@ def cluster_listing(frame: IntervalFrame, label: str, sort_by: str | None = "low
     )
 
 
+def _with_ranges(frame: IntervalFrame) -> DataFrame:
+    """The long rows with their feature's smallest lower and largest upper bound: one row a feature is broadcast."""
+    rows = frame.long()
+    return rows.join(F.broadcast(rows.groupBy("dim").agg(F.min("lower").alias("_low"), F.max("upper").alias("_high"))), "dim")
+
+
 def parallel_centres(frame: IntervalFrame) -> DataFrame:
     """(row_id, dim, y): midpoints scaled to the feature's range."""
-    rows = frame.long().withColumn("mid", (F.col("lower") + F.col("upper")) / 2)
-    every = W.partitionBy("dim")
-    return rows.select(quoted(frame.require_key()).alias("row_id"), "dim", scale_to_unit(F.col("mid"), F.min("lower").over(every), F.max("upper").over(every)).alias("y"))
+    rows = _with_ranges(frame).withColumn("mid", (F.col("lower") + F.col("upper")) / 2)
+    return rows.select(quoted(frame.require_key()).alias("row_id"), "dim", scale_to_unit(F.col("mid"), F.col("_low"), F.col("_high")).alias("y"))
 
 
 def bundling(frame: IntervalFrame, label: str) -> DataFrame:
@@ -141,9 +146,7 @@ def bezier(segments: DataFrame, beta: float = 0.8, alpha: float = 1 / 6, points:
 def radar(frame: IntervalFrame) -> DataFrame:
     """(row_id, step, feature, angle, lower, upper) scaled to the unit range; the first point closes the polygon."""
     d = frame.n_features
-    rows = frame.long()
-    every = W.partitionBy("dim")
-    low, high = F.min("lower").over(every), F.max("upper").over(every)
+    rows, low, high = _with_ranges(frame), F.col("_low"), F.col("_high")
     unit = rows.select(quoted(frame.require_key()).alias("row_id"), F.col("dim").alias("step"), "feature", (F.col("dim") * (2 * math.pi / d)).alias("angle"), scale_to_unit(F.col("lower"), low, high).alias("lower"), scale_to_unit(F.col("upper"), low, high).alias("upper"))
     return unit.unionByName(unit.where("step = 0").withColumn("step", F.lit(d)))
 

@@ -138,7 +138,8 @@ def test_select_k(spark):
     by_window = points and select_k.elbow_curvature_frame(points).orderBy("curvature", ascending=False).first().k
     assert select_k.Elbow().evaluate(SERIES) == by_window
     assert select_k.LMethod(iterative=False).evaluate(SERIES) == split_by_hand(SERIES)
-    assert select_k.LMethod(iterative=False).evaluate({**{k: float(k) for k in range(2, 10)}, 10: 50.0}) == 9
+    # With two points a line at least, a lone point on the right never beats two (both are met exactly); with four it counts.
+    assert select_k.LMethod(iterative=False, min_points_per_line=4).evaluate({**{k: 100.0 - k for k in range(2, 9)}, 9: 5.0, 10: 4.0, 11: 3.0}) == 8
     for seed in range(20):
         noisy = {k: float(v) for k, v in zip(range(2, 12), np.random.default_rng(seed).random(10))}
         assert select_k.LMethod(iterative=False).evaluate(noisy) == split_by_hand(noisy)

@@ -106,3 +106,27 @@ def test_normaliser_values(spark):
     assert one == [(None, None)]
     q = cells(normalize.RobustQuantile().fit_transform(f).df)
     assert all(0 <= v <= 1 for r in q for v in r)
+
+
+def test_fill_across_ranges(spark):
+    """Values cross the ranges that are filled on their own; all-null ranges, ends and other keys too."""
+    import random
+
+    from spanforge.operators.frame import IntervalFrame
+
+    rng = random.Random(3)
+    rows = [(k, float(k) if rng.random() < 0.05 and k > 40 else None, 1.0 if k in (100, 101) else None) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "row_id long, x_lower double, x_upper double").repartition(5)
+    ordered = sorted(rows)
+    for action, order in (("fill_forward", ordered), ("fill_backward", ordered[::-1])):
+        want, last = {}, [None, None]
+        for k, *v in order:
+            last = [a if a is not None else b for a, b in zip(v, last)]
+            want[k] = tuple(last)
+        for key in ("long", "string"):
+            own = df.withColumn("row_id", F.format_string("%04d", "row_id") if key == "string" else F.col("row_id"))
+            got = clean.MissingIntervals().fix(IntervalFrame(own, "row_id"), action).df
+            assert got.columns == own.columns and {int(r[0]): tuple(r)[1:] for r in got.collect()} == want
+    empty = clean.MissingIntervals().fix(IntervalFrame(df.where("false"), "row_id"), "fill_forward").df
+    assert empty.count() == 0
