@@ -333,3 +333,22 @@ def test_sql(spark, name):
     got = con.execute(queries.oracle_sql()[name]).fetchdf()[cols]
     assert sorted(map(str, df.select(*cols).toPandas().values.tolist())) == sorted(map(str, got.values.tolist()))
     assert table(spark, "documents").count()
+
+
+def test_quality_two_strata_certified(spark):
+    """The whole query's operator where two strata have labels enough and a third has not."""
+    langs = ("aa", "bb", "cc")
+
+    def text(i):
+        bad = " #$%&" * 15 if i % 20 == 0 else ""
+        return " ".join(f"w{i}x{j}" for j in range(40)) + bad
+
+    rows = [(i, text(i), langs[0 if i < 900 else 1 if i < 1800 else 2]) for i in range(2000)]
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows], extra=False).withColumn("lang", F.when(F.col("doc_id") < 900, "aa").when(F.col("doc_id") < 1800, "bb").otherwise("cc"))
+    labels = labels_of(spark, [(i, int(i % 20 != 0), 0) for i in range(2000)])
+    measures = quality.measured(docs)
+    cut = {(r.stratum, r.rule) for r in quality.certified_cutoffs(measures, labels).collect()}
+    assert {s for s, _ in cut} == {"aa", "bb"}
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    for i, _, lang in rows:
+        assert got[i].kept == (i % 20 != 0 or lang == "cc"), i
