@@ -150,6 +150,23 @@ def coder(freq: bytes, bits: int) -> Coder:
     return _CODERS[key]
 
 
+#: Bytes of texts that are encoded together: the more, the fewer chunks are looked up again.
+TOGETHER = 32 << 20
+
+
+def gathered(batches):
+    """The batches, joined until they hold ``TOGETHER`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 STAGED = "doc_id long, crc long, turn long, n long, ids binary, counts binary"
 
 
@@ -163,9 +180,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches):
         turn, kind = TaskContext.get().partitionId() << 33, encoder(tokenizer_path, True).kind
         end, total = np.asarray([end_id], dtype=kind), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in gathered(batches):
             data, sizes = [], []
-            for got in encoded(batch.column(1), tokenizer_path, True, larger=2):
+            for got in encoded(batch.column(1), tokenizer_path, True, larger=3):
                 data.append(np.append(got, end).tobytes())
                 sizes.append(len(got) + 1)
             if not data:
