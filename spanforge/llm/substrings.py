@@ -9,14 +9,15 @@ and maximal runs of windows that share theirs make short pieces of text.
 1. Minimisers that only one document holds are sifted out.
 2. Pieces with the others go to their minimiser's shard, each once per document
    bucket with the smallest id there.
-3. In a shard, pieces that stand alone under their minimiser are settled at
-   once. Of the others, windows that no other piece has (by hash) are sifted
-   out and equal strings are folded. What is left is cut into blocks; each
-   block gets its BWT, and the BWTs are merged by interleave refinement: round p turns the order by p - 1 symbols
-   into that by p symbols with one stable counting pass over the BWT symbols,
-   carrying along where common prefixes end. After ``LENGTH`` rounds the
-   intervals with a longer common prefix are the repeated strings; each takes
-   the smallest id in it.
+3. In a shard, equal pieces of several buckets are folded, byte by byte. A piece
+   that then stands alone under its minimiser has no windows in common with
+   others. Of the rest, windows whose hash no other has are sifted out, which
+   loses none that repeat. What is left is cut into blocks; each block gets its
+   BWT, and the BWTs are merged by interleave refinement: round p turns the
+   order by p - 1 symbols into that by p symbols with one stable counting pass
+   over the BWT symbols, carrying along where common prefixes end. After
+   ``LENGTH`` rounds the intervals with a longer common prefix are the repeated
+   strings; each takes the smallest id in it.
 4. Answers go back to the document buckets, which mark and remove bytes.
 
 Payloads are compressed column blobs; one task holds a bucket or shard, whose
@@ -386,31 +387,34 @@ def merged_intervals(bwts: list[np.ndarray], strings: list[int], depth: int = LE
     """Interleave of the transforms after ``depth`` rounds: the shard at each place of the
     merged order, and the number of its interval (a common prefix of ``depth`` symbols)."""
     sizes = [len(b) for b in bwts]
-    total = sum(sizes)
-    shard = np.repeat(np.arange(len(bwts), dtype=np.uint16), sizes)
+    small = np.uint8 if len(bwts) <= 256 else np.uint16  # counting passes over bytes are the cheapest
+    names = np.arange(len(bwts), dtype=small)
+    shard, ends = np.repeat(names, sizes), np.repeat(names, strings)
     flat = np.concatenate(bwts)
-    interval = np.zeros(total, np.int64)
-    ends = np.repeat(np.arange(len(bwts), dtype=np.uint16), strings)
-    symbol = np.empty(total, flat.dtype)
+    interval = np.zeros(sum(sizes), np.int32)
+    symbol = np.empty(len(flat), flat.dtype)
+    fresh = np.ones(len(flat), bool)
     for _ in range(depth):
         symbol[np.argsort(shard, kind="stable")] = flat  # each transform in its own order
         order = np.argsort(symbol, kind="stable")
         s, old = symbol[order], interval[order]
-        fresh = np.append(True, (s[1:] != s[:-1]) | (old[1:] != old[:-1]))
+        np.not_equal(old[1:], old[:-1], out=fresh[1:])
+        fresh[1:] |= s[1:] != s[:-1]
         fresh[: len(ends)] = True
-        interval = np.cumsum(fresh)
+        np.cumsum(fresh, out=interval)
         shard = shard[order]
         shard[: len(ends)] = ends  # terminators stay in the order of shards
     return shard, interval
 
 
-def least_ids(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id of every window of every string (strings in order, windows in order)."""
+def window_intervals(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The interval of every window of every string (strings in order, windows in order): equal windows, equal intervals."""
     closed = sizes + 1
     begins = np.cumsum(closed) - closed
-    symbols = np.zeros(int(closed.sum()), np.uint16)
-    spread = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    symbols[spread] = body.astype(np.uint16) + 1
+    used = np.bincount(body, minlength=256) > 0
+    code = np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.uint16)  # the order of bytes, from 1 on
+    symbols = np.zeros(int(closed.sum()), code.dtype)
+    symbols[np.repeat(begins, sizes) + _steps(sizes)] = code[body]
     # Shards of whole strings.
     shard_of = (begins // SHARD).astype(np.int64)
     edges = np.flatnonzero(np.append(True, shard_of[1:] != shard_of[:-1]))
@@ -424,13 +428,15 @@ def least_ids(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.
         offsets.append(a)
     shard, interval = merged_intervals(bwts, counts)
     place = np.empty(len(symbols), np.int64)
-    by_shard = np.argsort(shard, kind="stable")
-    place[np.concatenate([o + a for o, a in zip(orders, offsets)])] = by_shard
-    start = np.repeat(begins, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    of = interval[place[start]]
-    own = np.repeat(ids, windows)
-    low = np.full(int(interval[-1]) + 1, NO_ID)
-    np.minimum.at(low, of, own)
+    place[np.concatenate([o + a for o, a in zip(orders, offsets)])] = np.argsort(shard, kind="stable")
+    return interval[place[np.repeat(begins, windows) + _steps(windows)]]
+
+
+def least_ids(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id of every window of every string."""
+    of = window_intervals(body, sizes, windows)
+    low = np.full(int(of.max()) + 1, NO_ID)
+    np.minimum.at(low, of, np.repeat(ids, windows))
     return low[of]
 
 
@@ -439,68 +445,96 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _cut_out(body: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return body[np.repeat(at, sizes) + _steps(sizes)]
+
+
+def _folded(body: np.ndarray, at: np.ndarray, w: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, of): one string of every set of equal ones that lie in one stretch of ``MERGED`` symbols, and each string's place among them.
+
+    Strings of at most ``PIECE_WINDOWS`` windows are equal if their first and
+    last windows stand in the same intervals, which cover them.
+    """
+    size = w + LENGTH - 1
+    stretch = (np.cumsum(size + 1) - 1) // MERGED
+    edges = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+    heads, of = [], np.empty(len(w), np.int64)
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(w)]):
+        n = w[lo:hi]
+        interval = window_intervals(_cut_out(body, at[lo:hi], size[lo:hi]), size[lo:hi], n)
+        last = np.cumsum(n) - 1
+        one, two = interval[last - n + 1], interval[last]
+        order = np.lexsort((ids[lo:hi], two, one, n))
+        same = (n[order][1:] == n[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        fresh = np.append(True, ~same)
+        of[lo + order] = sum(map(len, heads)) + np.cumsum(fresh) - 1
+        heads.append(lo + order[fresh])
+    return np.concatenate(heads), of
+
+
+def _decided(body: np.ndarray, at: np.ndarray, w: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """The smallest id of every window of the strings at ``at``, by merged transforms; ``lows`` ascends.
+
+    Equal windows have equal minimisers, so whole minimisers are merged at a
+    time. One with more than ``MERGED`` symbols is merged in stretches first,
+    each of which keeps one of its equal strings, until that helps no more.
+    """
+    size, out = w + LENGTH - 1, np.empty(int(w.sum()), np.int64)
+    first = np.cumsum(w) - w
+    lead = np.flatnonzero(np.append(True, lows[1:] != lows[:-1]))
+    weight = np.add.reduceat(size + 1, lead)
+    turn, hot = (np.cumsum(weight) - 1) // MERGED, weight > MERGED
+    edges = lead[np.append(True, (turn[1:] != turn[:-1]) | hot[1:] | hot[:-1])]
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(w)]):
+        n, span = w[lo:hi], size[lo:hi]
+        here = slice(int(first[lo]), int(first[hi - 1] + w[hi - 1]))
+        if (span + 1).sum() > MERGED and lows[lo] == lows[hi - 1]:
+            heads, of = _folded(body, at[lo:hi], n, ids[lo:hi])
+            if len(heads) <= 0.9 * len(n):
+                got = _decided(body, at[lo + heads], n[heads], ids[lo + heads], lows[lo + heads])
+                begin = np.cumsum(n[heads]) - n[heads]
+                out[here] = got[np.repeat(begin[of], n) + _steps(n)]
+                continue
+        out[here] = least_ids(_cut_out(body, at[lo:hi], span), span, n, ids[lo:hi])
+    return out
+
+
 def _mixed(body: np.ndarray, begins: np.ndarray, wins: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
     """The smallest id of every window of pieces whose minimisers have several pieces.
 
-    Windows that no other piece has (by hash) keep their piece's id. The others
-    are cut into strings where the number of pieces that have them changes;
-    equal strings are folded, strings that then stand alone under their
-    minimiser are settled, and merged transforms decide the rest.
+    Windows whose hash no other has are single and keep their piece's id; the
+    hash decides nothing else. Merged transforms decide all others.
     """
     owner = np.repeat(np.arange(len(wins)), wins)
     source = np.repeat(begins, wins) + _steps(wins)
     answer = ids[owner]
     hashes = np.empty(len(source), np.uint64)
+    ends = np.cumsum(wins)
     for lo in range(0, len(wins), 4096):
         hi = min(lo + 4096, len(wins))
-        a, b = int(begins[lo:hi].min()), int((begins[lo:hi] + wins[lo:hi]).max()) + LENGTH - 1
-        if b - a > 8 * int(wins[lo:hi].sum() + LENGTH * (hi - lo)):
-            size = wins[lo:hi] + LENGTH - 1
-            own = body[np.repeat(begins[lo:hi], size) + _steps(size)]
-            first = np.cumsum(size) - size
-            at = np.repeat(first, wins[lo:hi]) + _steps(wins[lo:hi])
-        else:
-            own, at = body[a:b], (np.repeat(begins[lo:hi], wins[lo:hi]) + _steps(wins[lo:hi])) - a
-        (h,) = gram_hashes(own, (LENGTH,))
-        c = int(wins[:lo].sum())
-        hashes[c : c + len(at)] = h[at]
+        size = wins[lo:hi] + LENGTH - 1
+        (h,) = gram_hashes(_cut_out(body, begins[lo:hi], size), (LENGTH,))
+        hashes[ends[lo] - wins[lo] : ends[hi - 1]] = h[np.repeat(np.cumsum(size) - size, wins[lo:hi]) + _steps(wins[lo:hi])]
     _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    n = counts[inverse]
-    shared = n > 1
+    shared = counts[inverse] > 1
     if not shared.any():
         return answer
-    turn = np.append(True, (owner[1:] != owner[:-1]) | (n[1:] != n[:-1]))
+    turn = np.append(True, (owner[1:] != owner[:-1]) | (shared[1:] != shared[:-1]))
     b = np.flatnonzero(turn & shared)
-    e = np.flatnonzero(np.append(turn[1:], True) & shared)
-    key = mix(hashes[b] + (e - b).astype(np.uint64) * _GOLD) ^ (mix(hashes[e]) * _M2)
-    low, least = lows[owner[b]], ids[owner[b]]
-    order = np.lexsort((least, key, low))
-    fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (low[order][1:] != low[order][:-1]))
-    string = np.empty(len(b), np.int64)
-    string[order] = np.cumsum(fresh) - 1
-    head = order[fresh]
-    w, string_ids, string_low = (e - b + 1)[head], least[head], low[head]
-    lead = np.append(True, string_low[1:] != string_low[:-1])
-    group = np.cumsum(lead) - 1
-    rest = np.flatnonzero(np.bincount(group)[group] > 1)
-    ends = np.cumsum(w)
-    settled = np.repeat(string_ids, w)
-    if len(rest):
-        # Whole minimisers at a time, so that equal windows meet.
-        turn = np.maximum.accumulate((np.cumsum(w[rest] + LENGTH) - 1) // MERGED)
-        g = np.append(True, group[rest][1:] != group[rest][:-1])
-        turn = turn[np.flatnonzero(g)][np.cumsum(g) - 1]
-        edges = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(rest)]):
-            own = rest[lo:hi]
-            size = w[own] + LENGTH - 1
-            text = body[np.repeat(source[b[head[own]]], size) + _steps(size)]
-            settled[np.repeat(ends[own] - w[own], w[own]) + _steps(w[own])] = least_ids(text, size, w[own], string_ids[own])
-    width = e - b + 1
-    answer[np.repeat(b, width) + _steps(width)] = settled[np.repeat((ends - w)[string], width) + _steps(width)]
+    width = np.flatnonzero(np.append(turn[1:], True) & shared) - b + 1
+    answer[np.repeat(b, width) + _steps(width)] = _decided(body, source[b], width, ids[owner[b]], lows[owner[b]])
     return answer
 
 
+def _same_bytes(body: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the strings at ``one`` equal those at ``two``."""
+    for lo in range(0, len(sizes), 4096):
+        n = sizes[lo : lo + 4096]
+        if not np.array_equal(_cut_out(body, one[lo : lo + 4096], n), _cut_out(body, two[lo : lo + 4096], n)):
+            return False
+    return True
+
+
 def answered(shared: DataFrame) -> DataFrame:
     """(bucket, data): for pieces of a bucket, the smallest id of each of their windows, as runs."""
 
@@ -520,6 +554,10 @@ def answered(shared: DataFrame) -> DataFrame:
         piece = np.empty(len(key), np.int64)
         piece[order] = np.cumsum(fresh) - 1
         head = order[fresh]  # the occurrence with the smallest id
+        copies = np.flatnonzero(head[piece] != np.arange(len(key)))
+        heads = head[piece[copies]]
+        if not (np.array_equal(windows[copies], windows[heads]) and _same_bytes(body, begins[copies], begins[heads], sizes[copies])):
+            raise ValueError("two different pieces of text have one minimiser and one key")
         ids, wins, lows = least[head], windows[head], low[head]
         first = np.flatnonzero(np.append(True, lows[1:] != lows[:-1]))
         group = np.cumsum(np.append(True, lows[1:] != lows[:-1])) - 1

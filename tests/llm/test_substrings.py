@@ -64,6 +64,42 @@ def test_merged_transforms_equal_sorting():
     assert got.tolist() == [3 * min(j for j, v in windows if v == w) for _, w in windows]
 
 
+def test_every_shared_window_is_merged(spark, monkeypatch):
+    """Windows that two different pieces hold are decided by transforms, also where a minimiser outgrows one merge."""
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(b"abcdefgh ", np.uint8)
+    passage = letters[rng.integers(0, 9, 70)]
+    parts = [np.concatenate([letters[rng.integers(0, 9, rng.integers(0, 4))], passage[rng.integers(0, 9) : 70 - rng.integers(0, 9)], letters[rng.integers(0, 9, 3)]]) for _ in range(300)]
+    body, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+    begins, wins, ids = np.cumsum(sizes) - sizes, sizes - L + 1, rng.permutation(300)
+    windows = [bytes(p[k : k + L]) for p, n in zip(parts, wins) for k in range(n)]
+    owner = np.repeat(ids, wins)
+    least, times = {}, {}
+    for i, v in zip(owner.tolist(), windows):
+        least[v], times[v] = min(i, least.get(v, i)), times.get(v, 0) + 1
+    sent, real = [], substrings.window_intervals
+
+    def counted(body, sizes, windows):
+        sent.append(len(body))
+        return real(body, sizes, windows)
+
+    monkeypatch.setattr(substrings, "window_intervals", counted)
+    monkeypatch.setattr(substrings, "SHARD", 1000)
+    for merged, merges in ((1 << 20, 1), (4000, 4)):
+        sent.clear()
+        monkeypatch.setattr(substrings, "MERGED", merged)
+        got = substrings._mixed(body, begins, wins, ids, np.zeros(300, np.uint64))
+        assert got.tolist() == [least[v] for v in windows]
+        assert len(sent) >= merges and sum(n > 1 for n in times.values()) > 10
+
+
+def test_pieces_of_one_key_are_compared_by_bytes():
+    body = np.frombuffer(b"abcabdabc", np.uint8)
+    three = np.array([3])
+    assert substrings._same_bytes(body, np.array([0]), np.array([6]), three)
+    assert not substrings._same_bytes(body, np.array([0]), np.array([3]), three)
+
+
 def test_awkward_documents(spark):
     rows = [(i, t) for i, t in ROWS if i is not None]
     assert found(substrings.removed(awkward(spark).where("doc_id is not null"))) == brute(rows)
