@@ -5,6 +5,9 @@ Values are rounded to six digits in both engines; identifiers are kept.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,21 @@ def first_rows(frame: IntervalFrame, k: int) -> kmeans.Centroids:
     return [[(float(r[lo]), float(r[up])) for _, lo, up in frame.pairs] for r in rows]
 
 
+def new_folder(spark, name: str) -> str:
+    """A path in the folder that executors share; a temporary one in local mode without it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spanforge-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def middle_distance(a, b):
+    """A metric of a caller's own: the midpoints' distances, added up."""
+    return metrics.total(F.abs((p[0] + p[1]) / 2 - (q[0] + q[1]) / 2) for p, q in zip(a, b))
+
+
 def labelled(spark, sf, k: int = 3) -> tuple[IntervalFrame, DataFrame]:
     """Supplier intervals, scaled, with the label row_id % k, and the clusters' means."""
     frame = scaled(supplier(spark, sf))
@@ -152,6 +170,53 @@ def queries():
     q["midpoints"] = lambda spark, sf: rounded(part(spark, sf).midpoints())
     q["describe"] = lambda spark, sf: rounded(user(spark, sf).describe(), 4)
 
+    def csv_round_trip(spark, sf):
+        path = new_folder(spark, "csv")
+        readers.save_to_csv(part(spark, sf), path)
+        got = readers.from_csv(spark, path, "row_id")
+        return rounded(got.df.select(F.col("row_id").cast("long"), *(quoted(c).cast("double") for c in got.bound_columns)))
+
+    def parquet_round_trip(spark, sf):
+        path = new_folder(spark, "parquet")
+        dirty(spark, sf).df.write.parquet(path)
+        return rounded(readers.from_parquet(spark, path, "row_id").df)
+
+    def frame_facts(spark, sf):
+        frame = user(spark, sf)
+        return spark.createDataFrame([(*frame.shape, frame.n_features, len(frame.copy()))], "n_rows long, n_columns long, n_features long, n_copied long")
+
+    def damage(spark, sf):
+        frame = dirty(spark, sf)
+        bad, gone = inverted.check(frame), missing.check(frame)
+        row = (bad["has_inverted"], bad["total_inverted"], bad["inverted_rows"].count(), clean.has_missing(frame), gone["total_missing"], gone["missing_details"].count())
+        return spark.createDataFrame([row], "has_inverted boolean, total_inverted long, inverted_rows long, has_missing boolean, total_missing long, missing_rows long")
+
+    def repaired(spark, sf):
+        whole = clean.MissingIntervals.validate_and_fix(dirty(spark, sf), "drop_rows")
+        return rounded(clean.InvertedIntervals.validate_and_fix(whole, "swap").df)
+
+    def indexed(spark, sf):
+        frame = dirty(spark, sf)
+        return rounded(frame[F.col("qty_lower") > 10][["row_id", "price_upper"]])
+
+    def fitted(make):
+        return lambda spark, sf: rounded(make().fit(user(spark, sf)).parameters(spark))
+
+    def indices(spark, sf):
+        frame, centres = labelled(spark, sf)
+        rows = [(name, float(evaluate.evaluate(frame, "cluster", centres, index=name))) for name in ("inertia", "ch_index", "db_index")]
+        return rounded(spark.createDataFrame(rows, "name string, value double"))
+
+    q |= {"csv_round_trip": csv_round_trip, "parquet_round_trip": parquet_round_trip, "frame_facts": frame_facts, "damage": damage, "repaired": repaired, "indexed": indexed, "indices": indices}
+    q["ignored"] = lambda spark, sf: rounded(missing.fix(inverted.fix(dirty(spark, sf), "ignore"), "ignore").to_dataframe())
+    q["impute_joint_remove"] = lambda spark, sf: rounded(clean.impute_jointly(dirty(spark, sf), "remove").df)
+    q["params_minmax"], q["params_zscore"] = fitted(normalize.MinMax), fitted(normalize.ZScore)
+    q["params_midwidth"], q["params_robust"] = fitted(normalize.MidpointWidth), fitted(normalize.RobustQuantile)
+    q["similarity_distance"] = lambda spark, sf: rounded(pairs.upper(nation(spark, sf), metrics.SIMILARITY_DISTANCES["jaccard_distance"]))
+    q["condensed_dice"] = lambda spark, sf: rounded(pairs.condensed(nation(spark, sf), "dice"))
+    q["custom_metric"] = lambda spark, sf: rounded(pairs.upper(nation(spark, sf), middle_distance))
+    q["heat_map"] = lambda spark, sf: rounded(plotdata.heat_map(pairs.pairwise_similarity(nation(spark, sf), "jaccard"), list(range(25))))
+
     for steps in (0, 1, 3):
         q[{0: "assign_nearest"}.get(steps, f"lloyd_{steps}")] = lambda spark, sf, steps=steps: assigned(spark, sf, steps)
 

@@ -241,6 +241,29 @@ def statements() -> dict[str, str]:
     stat = lambda c: f"select '{c}' as bound, count({c}) as n, round(avg({c}), 4) + 0.0 as mean, round(stddev_samp({c}), 4) + 0.0 as std, round(min({c}), 4) + 0.0 as min, " + ", ".join(f"round(quantile_cont({c}, {q}), 4) + 0.0 as q{int(100 * q)}" for q in (0.25, 0.5, 0.75)) + f", round(max({c}), 4) + 0.0 as max from iv_user"
     o["describe"] = _with("iv_user", final=" union all ".join(stat(c) for p in _cols("iv_user") for c in p))
 
+    o["csv_round_trip"] = _projected("iv_part", "{lo}", "{up}")
+    o["parquet_round_trip"] = o["ignored"] = _projected(v, "{lo}", "{up}")
+    o["frame_facts"] = _with("iv_user", final="select count(*) as n_rows, 5::bigint as n_columns, 2::bigint as n_features, count(*) as n_copied from iv_user")
+    o["damage"] = _with(
+        v, ("l", _long(v)),
+        ("x", "select row_id, lower > upper + 1e-10 as bad, lower is null or upper is null as gone from l"),
+        final="select bool_or(coalesce(bad, false)) as has_inverted, (count(*) filter (where bad))::bigint as total_inverted, (count(distinct row_id) filter (where bad))::bigint as inverted_rows, bool_or(gone) as has_missing, (count(*) filter (where gone))::bigint as total_missing, (count(*) filter (where gone))::bigint as missing_rows from x",
+    )
+    whole = "where " + " and ".join(f"{c} is not null" for _, p in feats for c in p)
+    o["repaired"] = _projected(v, "case when {lo} > {up} + 1e-10 then {up} else {lo} end", "case when {lo} > {up} + 1e-10 then {lo} else {up} end", extra=whole)
+    o["impute_joint_remove"] = _projected(v, "{lo}", "{up}", extra=whole)
+    o["indexed"] = _with(v, final=f"select row_id, {r6('price_upper', 'price_upper')} from iv_dirty where qty_lower > 10")
+    params = lambda *cols: _with("iv_user", final=" union all ".join(f"select '{f}' as feature, " + ", ".join(r6(x.format(lo=lo, up=up), n) for n, x in cols) + " from iv_user" for f, (lo, up) in zip(FEATURES["iv_user"], _cols("iv_user"))))
+    o["params_minmax"] = params(("minimum", MM[0][1]), ("maximum", MM[1][1]))
+    o["params_zscore"] = params(("mean", ZS[0][1]), ("std", ZS[1][1]))
+    o["params_midwidth"] = params(*zip(("mid_min", "mid_max", "width_min", "width_max"), (x for _, x in MW)))
+    o["params_robust"] = params(("low", RQ[0][1]), ("high", RQ[1][1]))
+    o["similarity_distance"] = _pairs("iv_nation", f"1 - ({similarity('jaccard', nat)})")
+    o["condensed_dice"] = _pairs("iv_nation", f"1 - ({similarity('dice', nat)})")
+    o["custom_metric"] = _pairs("iv_nation", " + ".join(f"abs((a.{lo} + a.{up}) / 2 - (b.{lo} + b.{up}) / 2)" for lo, up in nat))
+    cell = f"case when a.row_id = b.row_id then 1.0 else {similarity('jaccard', nat)} end"
+    o["heat_map"] = _with("iv_nation", final="select a.row_id as i, " + ", ".join(r6(f"max(case when b.row_id = {j} then {cell} end)", f'"{j}"') for j in range(25)) + " from iv_nation a, iv_nation b group by a.row_id")
+
     for steps in (0, 1, 3):
         view, cols, flat, ctes = _lloyd(steps)
         o["assign_nearest" if steps == 0 else f"lloyd_{steps}"] = _with(view, *ctes, final=f"select row_id, cluster from a{steps}")
@@ -281,6 +304,9 @@ def statements() -> dict[str, str]:
     )
     o["dunn"] = _with(view, *ctes, pairs, final="select round(min(d) filter (where ca <> cb) / max(d) filter (where ca = cb), 6) + 0.0 as value from p")
 
+    named = [f"select '{name}' as name, value from ({o[q]})" for name, q in (("inertia", "distortion"), ("ch_index", "calinski"), ("db_index", "davies_bouldin"))]
+    o["indices"] = " union all ".join(named)
+
     for linkage in ("single", "complete", "average", "ward"):
         o[f"agglo_{linkage}"] = _merged(linkage, "select r as row_id, c as first_row from m where step = (select max(step) from m)", 3)
     # A cut into k clusters is the state with k labels; clusters are numbered by their first rows.

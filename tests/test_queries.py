@@ -24,7 +24,7 @@ def rows(df):
     return sorted(str([plain(x) for x in r]) for r in df[cols].astype(object).values)
 
 
-@pytest.mark.parametrize("name", ["pair_hausdorff", "pair_hedjazi", "norm_zscore", "norm_robust", "fix_swap", "fill_mode", "impute_joint_mean", "lloyd_1", "fcm_membership", "silhouette", "davies_bouldin", "lmethod", "bundling"])
+@pytest.mark.parametrize("name", ["pair_hausdorff", "pair_hedjazi", "norm_zscore", "norm_robust", "fix_swap", "fill_mode", "impute_joint_mean", "lloyd_1", "fcm_membership", "silhouette", "davies_bouldin", "lmethod", "bundling", "csv_round_trip", "parquet_round_trip", "damage", "repaired", "indices", "params_midwidth", "custom_metric", "heat_map"])
 def test_against_sql(spark, duck, name):
     from spanforge.plans import catalog
 
