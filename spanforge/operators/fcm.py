@@ -85,12 +85,13 @@ class IntervalFuzzyCMeans:
         whole = metrics.total(raw)
         return [x / whole for x in raw]
 
-    def fit(self, frame: IntervalFrame) -> IntervalFuzzyCMeans:
+    def fit(self, frame: IntervalFrame, start: list[Column] | None = None) -> IntervalFuzzyCMeans:
+        """``start``: first memberships, a column per cluster; drawn by the row key if left out."""
         n, d, k = check_whole(frame), frame.n_features, self.n_clusters
         bounds = frame.bounds()
         frame.df.persist()
         try:
-            u = self.initial(frame, n)
+            u = start or self.initial(frame, n)
             sums = frame.df.agg(*centre_sums(bounds, u, self.m)).first()
             before, weights = None, None
             for it in range(1, self.max_iter + 1):

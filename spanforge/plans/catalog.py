@@ -258,6 +258,18 @@ def queries():
     q["fcm_fit"] = lambda spark, sf: fcm.IntervalFuzzyCMeans(2, max_iter=10, random_state=1).fit(scaled(user(spark, sf))).get_membership()
     q["fcm_fit_adaptive"] = lambda spark, sf: fcm.IntervalFuzzyCMeans(2, max_iter=10, adaptive_weights=True, random_state=1).fit(scaled(user(spark, sf))).get_crisp_assignments()
 
+    def fcm_from_start(adaptive):
+        def query(spark, sf):
+            frame = scaled(user(spark, sf))
+            first = (F.col("row_id") % 3 + 1) / 4
+            model = fcm.IntervalFuzzyCMeans(2, max_iter=3, tol=0.0, adaptive_weights=adaptive).fit(frame, [first, 1 - first])
+            u = F.col("u")
+            return rounded(model.get_membership().select("row_id", u[0].alias("u0"), u[1].alias("u1")))
+
+        return query
+
+    q["fcm_from_start"], q["fcm_from_start_adaptive"] = fcm_from_start(False), fcm_from_start(True)
+
     q["distortion"] = lambda spark, sf: rounded(evaluate.distortion_frame((x := labelled(spark, sf))[0], "cluster", x[1]))
     q["silhouette"] = lambda spark, sf: rounded(evaluate.silhouette_frame(labelled(spark, sf)[0], "cluster"))
     q["calinski"] = lambda spark, sf: rounded(evaluate.calinski_harabasz_frame((x := labelled(spark, sf))[0], "cluster", x[1]))

@@ -137,6 +137,26 @@ def _fuzzy():
     return view, flat, ctes
 
 
+def _fuzzy_rounds(rounds: int, adaptive: bool) -> str:
+    """Memberships after some rounds from u0 = (row_id % 3 + 1) / 4, two clusters side by side."""
+    view = "iv_user"
+    cols = _cols(view)
+    flat = [c for p in cols for c in p]
+    ctes = [*_scaled(view), ("u0", "select row_id, (row_id % 3 + 1) / 4.0::double as u0, 1 - (row_id % 3 + 1) / 4.0::double as u1 from x")]
+    for i in range(1, rounds + 1):
+        mean = ", ".join(f"sum(u{k} * u{k} * x.{c}) / (sum(u{k} * u{k}) + 1e-16) as c{k}_{c}" for k in (0, 1) for c in flat)
+        ctes.append((f"c{i}", f"select {mean} from x join u{i - 1} using (row_id)"))
+        gap = ", ".join(f"sqrt(pow({lo} - c{k}_{lo}, 2) + pow({up} - c{k}_{up}, 2)) as d{k}_{j}" for k in (0, 1) for j, (lo, up) in enumerate(cols))
+        ctes.append((f"d{i}", f"select row_id, {gap} from x, c{i}"))
+        logs = ", ".join(f"ln(sum(u{k} * u{k} * d{k}_{j} * d{k}_{j}) + 1e-16) as l{k}_{j}" for k in (0, 1) for j in (0, 1))
+        weight = ", ".join(f"least(1e6, greatest(1e-6, exp((l{k}_0 + l{k}_1) / 2 - l{k}_{j})))" + f" as w{k}_{j}" if adaptive else f"1.0::double as w{k}_{j}" for k in (0, 1) for j in (0, 1))
+        ctes.append((f"w{i}", f"select {weight} from (select {logs} from d{i} join u{i - 1} using (row_id))"))
+        whole = ", ".join(f"d{k}_0 * w{k}_0 + d{k}_1 * w{k}_1 as t{k}" for k in (0, 1))
+        share = lambda a, b: f"case when least(t0, t1) = 0 then (case when t{a} = 0 and ({a} = 0 or t0 > 0) then 1.0 else 0.0 end) else 1.0 / (pow(t{a} / (t{a} + 1e-16), 2) + pow(t{a} / (t{b} + 1e-16), 2) + 1e-16) end as u{a}"
+        ctes.append((f"u{i}", f"select row_id, {share(0, 1)}, {share(1, 0)} from (select row_id, {whole} from d{i}, w{i})"))
+    return _with(view, *ctes, final=f"select row_id, {r6('u0', 'u0')}, {r6('u1', 'u1')} from u{rounds}")
+
+
 def _labelled():
     view = "iv_supplier"
     cols = _cols(view)
@@ -280,6 +300,8 @@ def statements() -> dict[str, str]:
     o["fcm_adaptive_weights"] = _with(view, *ctes, ("g", f"select cluster, {logs[0]} as l0, {logs[1]} as l1 from u group by cluster"), final=" union all ".join(f"select cluster::int as cluster, {j} as dim, round(least(1e6, greatest(1e-6, exp((l0 + l1) / 2 - l{j}))), 6) + 0.0 as weight from g" for j in (0, 1)))
     o["fcm_objective"] = _with(view, *ctes, final="select round(sum(u * u * (d0 * d0 + d1 * d1)), 6) + 0.0 as objective from u")
 
+    o["fcm_from_start"], o["fcm_from_start_adaptive"] = _fuzzy_rounds(3, False), _fuzzy_rounds(3, True)
+
     view, cols, flat, ctes = _labelled()
     own = ("own", f"select l.cluster, {distance('euclidean', cols, a='l', b='c', eps=True)} as d from l join c using (cluster)")
     pairs = ("p", f"select a.row_id as i, a.cluster as ca, b.cluster as cb, {distance('euclidean', cols, eps=True)} as d from l a join l b on a.row_id <> b.row_id")
