@@ -278,7 +278,7 @@ def queries():
 
     for linkage in ("single", "complete", "average", "ward"):
         q[f"agglo_{linkage}"] = lambda spark, sf, linkage=linkage: partition(scaled(nation(spark, sf)), linkage)
-    q["agglo_tree"] = lambda spark, sf: IntervalAgglomerative(2, "average").fit(scaled(nation(spark, sf))).linkage_frame()
+    q["agglo_tree"] = lambda spark, sf: rounded(IntervalAgglomerative(2, "average").fit(scaled(nation(spark, sf))).linkage_frame())
     q["agglo_cuts"] = lambda spark, sf: IntervalAgglomerative(2, "average").fit(scaled(nation(spark, sf))).get_cluster_tree_cuts(range(2, 5))
 
     best = lambda df, column: df.orderBy(F.col(column).desc(), "k").limit(1).select("k")

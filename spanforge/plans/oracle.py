@@ -334,6 +334,17 @@ def statements() -> dict[str, str]:
     # A cut into k clusters is the state with k labels; clusters are numbered by their first rows.
     o["agglo_cuts"] = _merged("average", "select (select count(*) from x)::int - step as k, r as row_id, (dense_rank() over (partition by step order by c) - 1)::int as cluster from m where (select count(*) from x) - step between 2 and 4", 2)
 
+    # Nodes as in linkage matrices: rows by rank, then merges in order.
+    o["agglo_tree"] = _merged(
+        "average",
+        "select t.step::int - 1 as merge_id, least(l.node, r.node)::int as left, greatest(l.node, r.node)::int as right, round(t.height, 6) + 0.0 as height, t.size::int as size "
+        "from (select p.*, (select avg(d.d) from m a, m b, d where a.step = p.step - 1 and b.step = p.step - 1 and a.c = p.ca and b.c = p.cb and d.i = a.r and d.j = b.r) as height, "
+        "(select count(*) from m a where a.step = p.step and a.c = p.ca) as size from p) t "
+        "join node l on l.step = t.step and l.c = t.ca join node r on r.step = t.step and r.c = t.cb",
+        1,
+    ).replace("\nselect t.step", ",\np as (select distinct b.step, b.c as ca, a.c as cb from m a join m b on a.r = b.r and b.step = a.step + 1 where a.c <> b.c),\n"
+        "node as (select s.step, x.c, coalesce((select max(q.step) - 1 + (select count(*) from iv_nation) from p q where q.ca = x.c and q.step < s.step), (select count(*) from iv_nation v where v.row_id < x.c)) as node from p s, (select row_id as c from iv_nation) x)\nselect t.step")
+
     k = "select * from (values " + ", ".join(f"({k}, {v}::double)" for k, v in K_SERIES) + ") as t(k, value)"
     grad = lambda x: f"case when lag({x}) over (order by k) is null then lead({x}) over (order by k) - {x} when lead({x}) over (order by k) is null then {x} - lag({x}) over (order by k) else (lead({x}) over (order by k) - lag({x}) over (order by k)) / 2 end"
     o["elbow_curvature"] = f"with t as ({k}), a as (select k, {grad('value')} as d1 from t), b as (select k, d1, {grad('d1')} as d2 from a) select k from b order by abs(d2) / pow(1 + d1 * d1, 1.5) desc, k limit 1"
