@@ -78,8 +78,13 @@ def cosine(a: Bounds, b: Bounds, eps: bool = False) -> Column:
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    """part / whole, or 0 where the whole is not positive."""
-    return F.when(whole > 0, part / F.when(whole > 0, whole).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
+    """part / whole, or 0 where the whole is not positive. Each side stands once, so that nested ratios stay small."""
+    return F.coalesce(positive_ratio(part, whole), F.lit(0.0))
+
+
+def positive_ratio(part: Column, whole: Column) -> Column:
+    """part / whole, or null where the whole is not positive."""
+    return F.try_divide(part, F.greatest(whole, F.lit(0.0)))
 
 
 def _mean(per_feature) -> Callable[[Bounds, Bounds], Column]:
@@ -101,7 +106,7 @@ def _hedjazi(la, ua, lb, ub, shared):
     union = (ua - la) + (ub - lb) - shared
     gap = F.greatest(F.lit(0.0), F.greatest(la, lb) - F.least(ua, ub))
     span = F.greatest(ua, ub) - F.least(la, lb)
-    return F.when((union > 0) & (span > 0), 0.5 * (ratio(shared, union) + 1 - ratio(gap, span))).otherwise(F.lit(0.0))
+    return F.coalesce(0.5 * (positive_ratio(shared, union) + 1 - positive_ratio(gap, span)), F.lit(0.0))
 
 
 jaccard = _mean(lambda la, ua, lb, ub, shared: ratio(shared, (ua - la) + (ub - lb) - shared))
