@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import lean, text_or_empty, workers
+from spanforge.llm.common import lean, relieve_driver, text_or_empty, workers
 
 #: Labelled documents read for fitting.
 SAMPLE_ROWS = 6000
@@ -176,6 +176,7 @@ def sampled(docs: DataFrame, few: DataFrame) -> list:
     made = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(lean(run), FEATURES)
     least = F.min(F.struct("buckets", "weights", "dense", "grade")).alias("x")
     rows = made.groupBy("doc_id").agg(least).select("doc_id", "x.grade", "x.buckets", "x.weights", "x.dense").collect()  # at most sample_rows
+    relieve_driver(docs.sparkSession, now=True)  # of what the rows passed through
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return [(r.doc_id, r.grade, tuple(np.frombuffer(x, kind) for x, kind in zip(r[2:], ("<i4", "<f8", "<f8")))) for r in rows]
 
@@ -196,6 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ke
     model = fit_features([x for (_, _, x), h in zip(rows, held) if not h], grades[~held], balance)
     tail = np.array([model.probabilities(model.score_of(*x))[-1] for (_, g, x), h in zip(rows, held) if h and g == GRADES - 1])
     model.cutoff = min(0.5, float(np.quantile(tail, 1 - keep_good))) if len(tail) >= 20 else 0.5
+    del rows
+    relieve_driver(docs.sparkSession, now=True)
     return model
 
 
