@@ -499,6 +499,28 @@ def _decided(body: np.ndarray, at: np.ndarray, w: np.ndarray, ids: np.ndarray, l
     return out
 
 
+def _equal(body: np.ndarray, at: np.ndarray, w: np.ndarray, ids: np.ndarray, lows: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, of): of equal strings under one minimiser the one with the smallest id, and each string's place among these heads.
+
+    ``names`` (equal for equal strings) propose; a string joins a head only if all their bytes agree.
+    """
+    order = np.lexsort((ids, names, lows))
+    fresh = np.append(True, (names[order][1:] != names[order][:-1]) | (lows[order][1:] != lows[order][:-1]))
+    head = np.empty(len(w), np.int64)
+    head[order] = order[fresh][np.cumsum(fresh) - 1]
+    copies = np.flatnonzero(head != np.arange(len(w)))
+    differ = w[copies] != w[head[copies]]
+    head[copies[differ]] = copies[differ]
+    copies = copies[~differ]
+    for lo in range(0, len(copies), 4096):
+        some = copies[lo : lo + 4096]
+        n = w[some] + LENGTH - 1
+        same = np.logical_and.reduceat(_cut_out(body, at[some], n) == _cut_out(body, at[head[some]], n), np.cumsum(n) - n)
+        head[some[~same]] = some[~same]
+    heads = np.flatnonzero(head == np.arange(len(w)))
+    return heads, np.searchsorted(heads, head)
+
+
 def _mixed(body: np.ndarray, begins: np.ndarray, wins: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
     """The smallest id of every window of pieces whose minimisers have several pieces.
 
@@ -522,7 +544,11 @@ def _mixed(body: np.ndarray, begins: np.ndarray, wins: np.ndarray, ids: np.ndarr
     turn = np.append(True, (owner[1:] != owner[:-1]) | (shared[1:] != shared[:-1]))
     b = np.flatnonzero(turn & shared)
     width = np.flatnonzero(np.append(turn[1:], True) & shared) - b + 1
-    answer[np.repeat(b, width) + _steps(width)] = _decided(body, source[b], width, ids[owner[b]], lows[owner[b]])
+    at, own, low = source[b], ids[owner[b]], lows[owner[b]]
+    heads, of = _equal(body, at, width, own, low, mix(hashes[b] + width.astype(np.uint64) * _GOLD) + hashes[b + width - 1] * _M1)
+    got = _decided(body, at[heads], width[heads], own[heads], low[heads])
+    begin = np.cumsum(width[heads]) - width[heads]
+    answer[np.repeat(b, width) + _steps(width)] = got[np.repeat(begin[of], width) + _steps(width)]
     return answer
 
 

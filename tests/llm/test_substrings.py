@@ -100,6 +100,24 @@ def test_pieces_of_one_key_are_compared_by_bytes():
     assert not substrings._same_bytes(body, np.array([0]), np.array([3]), three)
 
 
+def test_copies_are_merged_once(monkeypatch):
+    """Equal strings under one minimiser go into the transforms once, however many, also where a name means different strings."""
+    rng = np.random.default_rng(11)
+    few = [rng.integers(97, 101, 75, dtype=np.uint8) for _ in range(4)]
+    strings = [few[k] for k in rng.integers(0, 4, 400)]
+    body, sizes = np.concatenate(strings), np.array([len(x) for x in strings])
+    begins, wins, ids = np.cumsum(sizes) - sizes, sizes - L + 1, rng.permutation(400)
+    merged, plain = [], substrings.least_ids
+    monkeypatch.setattr(substrings, "MERGED", 2000)
+    monkeypatch.setattr(substrings, "least_ids", lambda body, *a: merged.append(len(body)) or plain(body, *a))
+    want = plain(body, sizes, wins, ids)
+    assert (substrings._mixed(body, begins, wins, ids, np.zeros(400, np.uint64)) == want).all()
+    assert sum(merged) == 4 * 75
+    names = np.zeros(400, np.uint64)  # one name for all
+    heads, of = substrings._equal(body, begins, wins, ids, np.zeros(400, np.uint64), names)
+    assert all((strings[heads[k]] == x).all() for k, x in zip(of, strings))
+
+
 def test_awkward_documents(spark):
     rows = [(i, t) for i, t in ROWS if i is not None]
     assert found(substrings.removed(awkward(spark).where("doc_id is not null"))) == brute(rows)
