@@ -91,3 +91,11 @@ def test_silhouette_of_an_uneven_metric(spark, blocks, n):
         to = {c: mean([d(r.i, j) for j in range(n) if j % 3 == c and j != r.i]) for c in range(3)}
         a, b = to[r.i % 3] or 0.0, min(v for c, v in to.items() if c != r.i % 3)
         assert (r.a, r.b, r.s) == pytest.approx((a, b, (b - a) / max(a, b)))
+
+
+def test_silhouette_rows_are_dealt_by_blocks(spark, blocks):
+    """Each ordered pair once, in tasks that follow from the blocks."""
+    f = frame(spark, random_rows(40, 3))
+    f = f.with_df(f.df.withColumn("cluster", (F.col("row_id") % 3).cast("int")))
+    got = evaluate._pair_rows(f, "cluster", "euclidean", ordered=False)
+    assert got.rdd.getNumPartitions() == 16 and got.select("i", "j").distinct().count() == got.count() == 40 * 39
